@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import lang_id, line_dedup, near_dup, packing
 from .common import table
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link_documents(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE toks AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -41,7 +54,10 @@ FROM sizes s JOIN (SELECT node, min(seen) AS c FROM reach GROUP BY 1) r ON r.nod
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lang_id": op1_lang_id,
         "op2_near_dup": op2_near_dup,
+        "op3_line_dedup": op3_line_dedup,
+        "op6_packing": op6_packing,
     }
 
 
