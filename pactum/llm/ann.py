@@ -129,7 +129,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"),
         F.pmod(F.xxhash64("cid"), F.lit(packs)).cast("int").alias("p"),
         F.col("cid").alias("qcid"),
-        "raw",
+        F.col("raw").alias("qraw"),
     )
 
     def search(index: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +137,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             return pd.DataFrame({"qcid": [], "cid": [], "score": []}).astype({"qcid": "int64", "cid": "int64"})
         block = Block(np.stack([np.frombuffer(r) for r in index["raw"]]), shared.value)
         ids = index["cid"].to_numpy()
-        q = np.stack([np.frombuffer(r) for r in asks["raw"]])
+        q = np.stack([np.frombuffer(r) for r in asks["qraw"]])
         out = []
         for qcid, x, head in zip(asks["qcid"], q, heads(q, shared.value), strict=True):
             part, score = block.search(x, head, k + 1)

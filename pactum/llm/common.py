@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -63,6 +65,36 @@ class Scratch:
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Membership:
+    """A bit array of bounded size that says which rows may belong to a set of ids; none that belong are missed.
+
+    At most 2**24 bits (2 MB) are gathered and shared, whatever the number of ids: with very many ids it lets more rows
+    through, and the exact join that follows drops them.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        bits = 1 << 16
+        n = ids.count()
+        while bits < 8 * n and bits < 1 << 24:
+            bits *= 2
+        spot = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("s"))
+        words = spot.groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m"))
+        array = np.zeros(bits // 64, dtype=np.int64)
+        for w, m in words.collect():
+            array[w] = m
+        self.bits = bits
+        self.shared = ids.sparkSession.sparkContext.broadcast(array)
+
+    def only(self, batches):
+        """The rows of Arrow batches whose column `hash` (xxhash64 of the id) may belong."""
+        array = self.shared.value
+        for batch in batches:
+            spot = batch.column("hash").to_numpy() % self.bits
+            hit = (array[spot >> 6] >> (spot & 63)) & 1 == 1
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, as one row may hold a very long text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -12,7 +12,8 @@ pivots and try the documents that are not yet in their pivot's component.
 Defined results: a null, empty or white-space text has n_shingles 0 and is linked with nothing; repeated rows and
 texts with equal sets are linked at once through a 128-bit fingerprint of the set, whatever their number; an empty
 table gives an empty result; ties are settled by the smaller doc_id; columns besides doc_id and text are ignored.
-Rows with a null doc_id are not part of any result.
+Rows with a null doc_id are not part of any result;
+rows that share a doc_id count as one document, linked where any of its texts is.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_token_hashes, mix64, small_batches
+from .common import Membership, Scratch, batch_token_hashes, mix64, small_batches
 
 WORDS = 5
 BUCKETS = 128
@@ -168,7 +169,6 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = scratch.write(classes)
     reps = (
         sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("id"), "n", "reg", "bands")
     )
     reps = scratch.write(reps)
@@ -224,8 +224,10 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets, "id long, items array<long>")
+    wanted = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    maybe = Membership(wanted, "id")
+    # Only documents of a pair have their sets built; the joins below drop what the filter lets through besides.
+    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(lambda it: _sets(maybe.only(it)), "id long, items array<long>")
     sets = scratch.write(sets)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")

@@ -36,13 +36,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without user, www. and default port; path without a trailing slash; sorted query without utm_ keys; no scheme or fragment."""
-    pattern = F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?")
+    pattern = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
     part = [F.regexp_extract(url, pattern, k) for k in (1, 2, 3)]
     host = F.regexp_replace(F.lower(part[0]), r"^[^@]*@", "")
     host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\d*\.", "")
     path = F.regexp_replace(part[1], r"/+$", "")
     query = F.array_join(F.array_sort(F.filter(F.split(part[2], "&"), lambda x: (x != "") & ~x.startswith("utm_"))), "&")
-    return F.when(F.regexp_like(url, pattern), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
+    return F.when(F.regexp_like(url, F.lit(pattern)), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
 # ---------------------------------------------------------------- records as bytes
