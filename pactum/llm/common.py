@@ -168,21 +168,26 @@ def windows(raw: bytes):
         at = end
 
 
-def token_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of a UTF-8 text after A-Z are lower-cased."""
-    parts = []
-    for piece in windows(raw):
-        buf = _LOWER[np.frombuffer(piece, dtype=np.uint8)]
-        s, e = _spans(buf)
-        parts.append(_hash_spans(buf, s, e))
+def _tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, last two bytes) of each token of a lower-cased buffer."""
+    s, e = _spans(buf)
+    tail = buf[e - 1].astype(np.int32)
+    two = e - s > 1
+    tail[two] |= buf[e[two] - 2].astype(np.int32) << 8
+    return s, _hash_spans(buf, s, e), tail
+
+
+def token_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and last two bytes of the words [^\\x20\\x09-\\x0D]+ of a UTF-8 text after A-Z are lower-cased."""
+    parts = [_tokens(_LOWER[np.frombuffer(piece, dtype=np.uint8)])[1:] for piece in windows(raw)]
     if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def batch_token_hashes(texts: list[bytes]) -> list[np.ndarray]:
+def batch_tokens(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """token_hashes of several texts; short texts share one pass."""
-    out: list[np.ndarray | None] = [None] * len(texts)
+    out: list = [None] * len(texts)
     group: list[int] = []
     held = 0
 
@@ -191,14 +196,11 @@ def batch_token_hashes(texts: list[bytes]) -> list[np.ndarray]:
         if not group:
             return
         joined = b" ".join(texts[i] for i in group)
-        buf = _LOWER[np.frombuffer(joined, dtype=np.uint8)]
-        s, e = _spans(buf)
-        h = _hash_spans(buf, s, e)
-        stops = np.cumsum([len(texts[i]) + 1 for i in group])
-        cuts = np.searchsorted(s, stops)
+        s, h, tail = _tokens(_LOWER[np.frombuffer(joined, dtype=np.uint8)])
+        cuts = np.searchsorted(s, np.cumsum([len(texts[i]) + 1 for i in group]))
         at = 0
         for i, c in zip(group, cuts, strict=True):
-            out[i] = h[at:c]
+            out[i] = h[at:c], tail[at:c]
             at = c
         group.clear()
         held = 0
@@ -213,3 +215,7 @@ def batch_token_hashes(texts: list[bytes]) -> list[np.ndarray]:
             flush()
     flush()
     return out
+
+
+def batch_token_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    return [h for h, _ in batch_tokens(texts)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, jpeg, lang_id, line_dedup, near_dup, packing, warc
+from . import ann, bpe, html_text, jpeg, lang_id, line_dedup, near_dup, packing, pitman_yor, warc
 from .common import table
 
 #: The public tokenizer file of op5.
@@ -51,6 +51,10 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE toks AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -118,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op8_media": op8_media,
         "op9_ann": op9_ann,
+        "op10_lm_score": op10_lm_score,
     }
 
 
