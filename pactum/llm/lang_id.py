@@ -46,6 +46,8 @@ class PPM:
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.langs = sorted(samples)
+        if not samples:
+            return
         raw = [np.frombuffer(PAD + PAD.join(samples[x]), dtype=np.uint8) for x in self.langs]
         seen = np.bincount(np.concatenate(raw), minlength=256) if raw else np.zeros(256)
         common = np.sort(np.argsort(-seen, kind="stable")[: SYMBOLS - 1])
@@ -189,10 +191,10 @@ def predict(docs: DataFrame, model: PPM) -> DataFrame:
         ppm = shared.value
         for texts in batches:
             ok = [isinstance(t, str) and bool(LETTER.search(t)) for t in texts]
-            bits = ppm.lengths([t.encode() if good else b"" for t, good in zip(texts, ok, strict=True)])
             if not ppm.langs:
                 yield pd.DataFrame({"lang_pred": ["und"] * len(ok), "score": 0.0, "bits": 0.0})
                 continue
+            bits = ppm.lengths([t.encode() if good else b"" for t, good in zip(texts, ok, strict=True)])
             win = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), win]
             score = 1.0 / np.exp2(np.minimum(0.0, least[:, None] - bits)).sum(axis=1)
