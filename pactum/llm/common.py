@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -72,27 +72,47 @@ class Membership:
     through, and the exact join that follows drops them.
     """
 
-    def __init__(self, ids: DataFrame, column: str):
+    def __init__(self, ids: DataFrame, key: Column):
+        """key: the 64-bit hash of a row's id."""
         bits = 1 << 16
         n = ids.count()
         while bits < 8 * n and bits < 1 << 24:
             bits *= 2
-        spot = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("s"))
+        spot = ids.select(F.pmod(key, F.lit(bits)).alias("s"))
         words = spot.groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m"))
-        array = np.zeros(bits // 64, dtype=np.int64)
+        self.array = np.zeros(bits // 64, dtype=np.int64)
         for w, m in words.collect():
-            array[w] = m
+            self.array[w] = m
         self.bits = bits
-        self.shared = ids.sparkSession.sparkContext.broadcast(array)
-
-    def only(self, batches):
-        """The rows of Arrow batches whose column `hash` (xxhash64 of the id) may belong."""
-        array = self.shared.value
-        for batch in batches:
-            spot = batch.column("hash").to_numpy() % self.bits
-            hit = (array[spot >> 6] >> (spot & 63)) & 1 == 1
-            if hit.any():
-                yield batch.filter(pa.array(hit))
+        self.spark = ids.sparkSession
+        self._shared = None
+
+    def test(self, key: Column) -> Column:
+        """Whether a row may belong, inside the JVM: the bits come from a one-row scalar subquery."""
+        one = self.spark.createDataFrame([(self.array.tolist(),)], "bits array<long>")
+        spot = F.pmod(key, F.lit(self.bits))
+        word = F.get(one.scalar(), F.floor(spot / 64).cast("int"))
+        return F.call_function("shiftright", word, (spot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    @property
+    def shared(self):
+        if self._shared is None:
+            self._shared = self.spark.sparkContext.broadcast(self.array)
+        return self._shared
+
+    def only(self):
+        """A function over Arrow batches that keeps the rows whose column `hash` may belong."""
+        shared, bits = self.shared, self.bits
+
+        def work(batches):
+            array = shared.value
+            for batch in batches:
+                spot = batch.column("hash").to_numpy() % bits
+                hit = (array[spot >> 6] >> (spot & 63)) & 1 == 1
+                if hit.any():
+                    yield batch.filter(pa.array(hit))
+
+        return work
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

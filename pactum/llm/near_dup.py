@@ -225,9 +225,9 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
     wanted = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    maybe = Membership(wanted, "id")
+    maybe = Membership(wanted, F.xxhash64("id")).only()
     # Only documents of a pair have their sets built; the joins below drop what the filter lets through besides.
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(lambda it: _sets(maybe.only(it)), "id long, items array<long>")
+    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(lambda it: _sets(maybe(it)), "id long, items array<long>")
     sets = scratch.write(sets)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
