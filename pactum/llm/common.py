@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         named = sc.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="pactum-shared-")
+        atexit.register(shutil.rmtree, named, True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named

@@ -46,7 +46,7 @@ FURNITURE_NAMES = frozenset(
     "notifications alert modal popup overlay newsletter subscribe subscription signup login register share sharing social related "
     "recommended recommendations recirc widget widgets toolbar pagination pager skip copyright disclaimer form search outbrain taboola".split()
 )
-ARTICLE_NAMES = frozenset("article articlebody post entry story content body main text hentry".split())
+ARTICLE_NAMES = frozenset("article articlebody post entry story content main hentry".split())
 
 FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "article", "furniture", "heading")
 # Fixed values, the labelled table: the features in the order above, then 1 for main text.
@@ -199,7 +199,7 @@ def names_of(attributes: str) -> dict:
             parts = {x.lower() for x in NAME_PART.findall(value)} | set(re.split(r"[^a-z0-9]+", value.lower()))
             if parts & FURNITURE_NAMES and not (parts & {"article", "post", "entry", "story"} and parts & {"header", "body", "content", "text"}):
                 found["furniture"] = True
-            elif parts & ARTICLE_NAMES and parts & {"article", "articlebody", "post", "entry", "story", "hentry"}:
+            elif parts & ARTICLE_NAMES:
                 found["article"] = True
     return found
 
