@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
+SPACE = regex.compile(r"[ \t\n\r]")
+#: Characters of a very long text that are in work at once.
+PIECE = 1 << 20
 #: Words kept in the cache of a worker.
 CACHE = 1 << 18
 
@@ -144,6 +147,17 @@ class Encoder:
                 out += map(self.ids.__getitem__, self.words.findall(self.normalise(part)))
         return out
 
+    def pieces(self, text: str) -> Iterator[list[bytes]]:
+        """chunks of a text, about PIECE characters at a time; no word or special token holds the white space it is cut at."""
+        at = 0
+        while at < len(text):
+            end = at + PIECE
+            if end < len(text):
+                m = SPACE.search(text, end)
+                end = m.start() if m else len(text)
+            yield self.chunks(text[at:end])
+            at = end
+
     def encode(self, text: str) -> list[int]:
         return [i for (i,) in struct.iter_unpack("<I", b"".join(self.chunks(text)))]
 
@@ -161,14 +175,26 @@ def encoder(path: str) -> Encoder:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) and the decoded text of every row."""
-    return _run(docs, path, "doc_id long, ids binary, decoded string", lambda ids, text: (ids, text), ("ids", "decoded"), (pa.binary(), pa.string()))
+
+    def whole(enc: Encoder, text: str) -> tuple:
+        chunks = [c for part in enc.pieces(text) for c in part]
+        return b"".join(chunks), enc.decode_chunks(chunks)
+
+    return _run(docs, path, "doc_id long, ids binary, decoded string", whole, ("ids", "decoded"), (pa.binary(), pa.string()))
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; texts and ids don't leave the worker."""
 
-    def digest(ids: bytes, text: str) -> tuple:
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()
+    def digest(enc: Encoder, text: str) -> tuple:
+        ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+        for chunks in enc.pieces(text):
+            raw = b"".join(chunks)
+            if raw:
+                decoded.update((" " if n else "").encode() + enc.decode_chunks(chunks).encode("utf-8"))
+                ids.update(raw)
+                n += len(raw) // 4
+        return n, ids.hexdigest(), decoded.hexdigest()
 
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
     return _run(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest, names, (pa.int64(), pa.string(), pa.string()))
@@ -180,10 +206,7 @@ def _run(docs: DataFrame, path: str, schema: str, make, names, kinds) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                chunks = enc.chunks(text.as_py() or "")
-                rows.append(make(b"".join(chunks), enc.decode_chunks(chunks)))
+            rows = [make(enc, text.as_py() or "") for text in batch.column(1)]
             cols = [*zip(*rows, strict=True)] or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", *names])
 

@@ -125,6 +125,15 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(df, TOKENIZER).where("doc_id = 0").first().decoded == lib.decode(lib.encode(texts[0]).ids, skip_special_tokens=False)
 
 
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    enc = bpe.encoder(TOKENIZER)
+    text = "it's a LONG text\n" * 50 + "<|endoftext|>end " + "y" * 400
+    whole = enc.chunks(text)
+    monkeypatch.setattr(bpe, "PIECE", 37)
+    parts = [*enc.pieces(text)]
+    assert len(parts) > 10 and [c for p in parts for c in p] == whole and [*enc.pieces("")] == []
+
+
 def test_merges_equal_rank_by_rank_merging():
     enc = bpe.encoder(TOKENIZER)
     rng = np.random.RandomState(3)
