@@ -6,7 +6,7 @@ boundaries with the least total padding. Inside a bucket documents are numbered
 floor(budget / boundary) documents, so a batch never holds more padded tokens than the budget, unless one
 document alone does.
 
-Numbering needs no global sort: documents are numbered inside hash chunks of about 4,096, and chunk offsets come from
+Numbering needs no global sort: documents are numbered inside hash chunks of about 1,024, and chunk offsets come from
 a running sum over the chunk counts.
 
 Defined results: null and empty texts have length 1; ties of hash order are settled by doc_id; repeated rows are
@@ -24,7 +24,7 @@ from .common import Scratch
 
 BUDGET = 65_536
 BUCKETS = 16
-CHUNK = 4_096
+CHUNK = 1_024
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, k: int) -> list[int]:
