@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import Scratch, small_batches
 
 #: Rows that a time block holds on average.
 PER_BLOCK = 4096
@@ -141,8 +141,8 @@ def resolve(records: DataFrame) -> DataFrame:
 
     records: record_id, url, ts (timestamp), kind (response or revisit), status (HTTP), headers (map, lower-case names).
     """
-    spark = records.sparkSession
-    rec = records.select("record_id", "url", F.unix_micros("ts").alias("t"), "kind", "status", "headers", canonical_url(F.col("url")).alias("canonical"))
+    # Read once: the steps below go over the records several times.
+    rec = Scratch(records.sparkSession, "warc").write(records.select("record_id", "url", F.unix_micros("ts").alias("t"), "kind", "status", "headers", canonical_url(F.col("url")).alias("canonical")))
     full = rec.where((F.col("kind") == "response") & (F.col("status") == "200") & F.col("t").isNotNull() & F.col("canonical").isNotNull())
     visits = rec.where(F.col("kind") == "revisit")
     span = rec.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("t").alias("n")).first()
