@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 DEPTH = 3
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 4 << 20
 TEXT_BYTES = 64 << 10
-CONTEXTS = 16_384
+CONTEXTS = 8_192
 SYMBOLS = 128
 OTHER = SYMBOLS - 1
 PAD = b"\n" * DEPTH
@@ -61,8 +61,9 @@ class PPM:
         langs = len(self.langs)
         base = np.full((SYMBOLS, langs), 8.0)
         base[OTHER] = np.log2(256.0) - np.log2(256 - SYMBOLS + 1)
-        tables, rows_of = [], [{(): 0}]
-        tables.append(self._row(base, [self._at(counts[0][i], 0) for i in range(langs)]))
+        tables = np.zeros((CONTEXTS, SYMBOLS, langs), dtype=np.float32)
+        tables[0] = self._row(base, [self._at(counts[0][i], 0) for i in range(langs)])
+        made, rows_of = 1, [{(): 0}]
         state = np.zeros((SYMBOLS,) * DEPTH, dtype=np.int32)
         room = CONTEXTS - 1
         for k in range(1, DEPTH + 1):
@@ -80,12 +81,13 @@ class PPM:
                 parent = rows_of[k - 1].get(path[1:])
                 if parent is None:
                     continue
-                here[path] = len(tables)
-                tables.append(self._row(tables[parent], [self._at(counts[k][i], c) for i in range(langs)]))
+                here[path] = made
+                tables[made] = self._row(tables[parent], [self._at(counts[k][i], c) for i in range(langs)])
+                made += 1
                 state[(slice(None),) * (DEPTH - k) + path] = here[path]
             rows_of.append(here)
         self.state = state.reshape(-1)
-        self.cost = np.stack(tables).astype(np.float32).reshape(-1, langs)
+        self.cost = tables[:made].reshape(-1, langs)
 
     @staticmethod
     def _grams(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,8 @@ class PPM:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         key = np.zeros(len(x) - k, dtype=np.int64)
         for i in range(k + 1):
-            key = key << 7 | x[i : len(x) - k + i]
+            key <<= 7
+            key |= x[i : len(x) - k + i]
         return np.unique(key, return_counts=True)
 
     @staticmethod
