@@ -34,6 +34,8 @@ SYMBOLS = 128
 OTHER = SYMBOLS - 1
 PAD = b"\n" * DEPTH
 WINDOW = 1 << 20
+#: A column name that no table has.
+BEST = "__pactum_best"
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -207,18 +209,18 @@ def predict(docs: DataFrame, model: PPM) -> DataFrame:
                 "bits": np.where(ok, least, 0.0),
             })
 
-    return docs.withColumn("_best", best("text"))
+    return docs.withColumn(BEST, best("text"))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits for every row of docs."""
     model = fit(docs)
     out = predict(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_best.lang_pred", "_best.score", "_best.bits")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), f"{BEST}.lang_pred", f"{BEST}.score", f"{BEST}.bits")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose text is in a learned language with a posterior of `least` or more."""
     own = docs.columns
-    out = predict(docs, fit(docs)).where((F.col("_best.lang_pred") != "und") & (F.col("_best.score") >= least))
+    out = predict(docs, fit(docs)).where((F.col(f"{BEST}.lang_pred") != "und") & (F.col(f"{BEST}.score") >= least))
     return out.select(*own)

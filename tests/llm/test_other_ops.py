@@ -114,7 +114,7 @@ def test_line_dedup(spark):
         (7, text_of(rng, 50) + "\n" + text_of(rng, 50)),
         (None, base),
     ]
-    df = spark.createDataFrame([(*d, "c", 1) for d in docs], "doc_id long, text string, source string, n_dropped int")
+    df = spark.createDataFrame([(*d, "c", 1, 2) for d in docs], "doc_id long, text string, source string, n_dropped int, gone int")
     out = line_dedup.dedup_lines(df)
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].text == docs[0][1] and got[1].n_dropped == 0
