@@ -144,6 +144,49 @@ def test_edit_similarity(spark):
     assert got == [True, True, False, True, True, False]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_recall_of_fuzzy_lines(spark):
+    """Copies with a changed letter, a changed word or every tenth word changed, by brute force 0.8 or more alike."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    pairs = []
+    for n in (5, 8, 12, 20, 30, 45, 60):
+        for k in range(24):
+            words = [rng.choice(vocabulary) for _ in range(n)]
+            copy = list(words)
+            if k % 3:
+                for i in rng.sample(range(n), 1 if k % 3 == 1 else max(1, n // 10)):
+                    copy[i] = rng.choice(vocabulary)
+            else:
+                i = rng.randrange(n)
+                copy[i] = copy[i][:1] + "q" + copy[i][2:]
+            a, b = " ".join(words), " ".join(copy)
+            if a != b and edits(a, b) <= 0.2 * max(len(a), len(b)):
+                pairs.append((n, a, b))
+    rows = [(2 * i + side, t) for i, (_, *both) in enumerate(pairs) for side, t in enumerate(both)]
+    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(out[2 * i] for i in range(len(pairs)))
+    found = [out[2 * i + 1] for i in range(len(pairs))]
+    assert len(pairs) > 140 and sum(found) >= 0.95 * len(pairs)
+
+
+def test_long_lines_with_a_part_put_in(spark):
+    rng = random.Random(9)
+    line = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(715))
+    put = line[:100] + " zzzzzz" * 40 + line[100:]
+    df = spark.createDataFrame([(1, line), (2, put)], "doc_id long, text string")
+    assert [r.n_dropped for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_plans_hold_no_python(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert "Python" not in line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
