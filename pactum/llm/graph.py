@@ -1,7 +1,9 @@
-"""Connected components by alternating star contractions, on DataFrames only."""
+"""Links inside groups of candidates and connected components by alternating star contractions, on DataFrames only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,54 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     )
 
 
+def link_groups(rows: DataFrame, percent: int, test: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame | None:
+    """Components of the members of groups under `test`, or None where no pair was tested.
+
+    rows: scratch table (key, id, size), released here; test: the pairs (a, b) of ids that are links, of those given.
+    Two members can be linked only where 100 * smaller size >= percent * larger. Every round tests all members of a
+    group against its pivots: its smallest member first, then about 4, 16, 64 and so on drawn by hash. A pivot that is
+    tested leaves the group. Rounds end when each pair of a group is tested, or already in one component.
+    """
+    links = components = tried = None
+    turn = 0
+    while True:
+        if turn == 0:
+            pivots = rows.groupBy("key").agg(F.min(F.struct(F.col("id").alias("p"), F.col("size").alias("ps"))).alias("m")).select("key", "m.p", "m.ps")
+        else:
+            drawn = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("c")) < F.lit(4**turn)
+            pivots = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key").where(drawn)
+            pivots = scratch.write(pivots.select("key", F.col("id").alias("p"), F.col("size").alias("ps")))
+        pairs = rows.join(pivots, "key").where("id <> p").where(F.expr(f"100L * least(size, ps) >= {percent}L * greatest(size, ps)"))
+        if components is not None:
+            # Roots are joined to the members and not to the pairs, so that only pairs of different components are made.
+            pairs = _rooted(rows, "id", "ri", components).join(_rooted(pivots, "p", "rp", components), "key")
+            pairs = pairs.where("ri <> rp").where(F.expr(f"100L * least(size, ps) >= {percent}L * greatest(size, ps)"))
+        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs)
+        if not pairs.isEmpty():
+            found = scratch.write(test(pairs))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                components = scratch.write(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
+        left = rows.join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti")
+        rooted = left.withColumn("ri", F.col("id")) if components is None else _rooted(left, "id", "ri", components)
+        several = rooted.groupBy("key").agg(F.min("ri").alias("x"), F.max("ri").alias("y")).where("x < y").select("key")
+        after = scratch.write(left.join(several, "key", "left_semi"))
+        scratch.release(rows)
+        rows = after
+        if rows.isEmpty():
+            return components
+        turn += 1
+
+
+def _rooted(rows: DataFrame, side: str, name: str, components: DataFrame) -> DataFrame:
+    roots = components.select(F.col("node").alias(side), F.col("root").alias(name))
+    return rows.join(roots, side, "left").withColumn(name, F.coalesce(name, side))
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))

@@ -6,8 +6,8 @@ borrow the register of a non-empty bucket in a fixed pseudo-random order. Runs o
 keys; documents that share a key are candidates. Candidates are thinned by the Jaccard estimate that is
 corrected for accidental register collisions, and what is left is confirmed on the full shingle sets.
 
-Within the documents of one band key only links to a pivot are tried (never all pairs); later rounds choose other
-pivots and try the documents that are not yet in their pivot's component.
+Within the documents of one band key links to one pivot are tried first; later rounds choose more pivots among those
+left, until any two documents of a key are tried or in one component.
 
 Defined results: a null, empty or white-space text has n_shingles 0 and is linked with nothing; repeated rows and
 texts with equal sets are linked at once through a 128-bit fingerprint of the set, whatever their number; an empty
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Membership, Scratch, batch_token_hashes, mix64, small_batches
+from .graph import link_groups
 
 WORDS = 5
 BUCKETS = 128
 ROWS = 5
 BANDS = 25
 MANTISSA = 10
-ROUNDS = 3
 #: Below this many shingles registers are borrowed too often for the estimate to be trusted.
 ESTIMATE_FROM = 1024
 #: Six standard deviations of the estimate below the threshold.
@@ -172,37 +172,19 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
         .select(F.col("doc_id").alias("id"), "n", "reg", "bands")
     )
     reps = scratch.write(reps)
-    rows = reps.select("id", F.explode("bands").alias("key"))
+    rows = reps.select(F.explode("bands").alias("key"), "id", F.col("n").alias("size"))
     shared = rows.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("key")
     rows = scratch.write(rows.join(shared, "key", "left_semi"))
+    least = percent / 100 - SLACK
 
-    links = components = tried = None
-    for turn in range(ROUNDS):
-        order = F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
-        pivots = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("p"))).alias("m"))
-        pairs = rows.join(pivots.select("key", F.col("m.p").alias("p")), "key").where("id <> p")
-        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        if turn:
-            roots = components.select(F.col("node"), F.col("root"))
-            for side in ("a", "b"):
-                pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-            pairs = pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    def test(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             sized = reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("reg").alias(f"r{side}"))
             pairs = pairs.join(sized, side)
-        # Sizes bound the similarity: the smaller set is at most all of the intersection.
-        pairs = pairs.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
-        least = percent / 100 - SLACK
-        pairs = scratch.write(pairs.mapInArrow(lambda it: _likely(it, least), "a long, b long, na long, nb long"))
-        if pairs.isEmpty():
-            break
-        found = scratch.write(_confirm(docs, pairs, percent, scratch))
-        links = found if links is None else scratch.write(links.unionByName(found))
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if turn == 0 or not found.isEmpty():
-            components = scratch.write(connected(links, scratch))
-        else:
-            break
+        likely = scratch.write(pairs.mapInArrow(lambda it: _likely(it, least), "a long, b long, na long, nb long"))
+        return _confirm(docs, likely, percent, scratch)
+
+    components = link_groups(rows, percent, test, scratch)
 
     members = sketch.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(
         classes.select("f1", "f2", F.col("n").alias("n_shingles"), "rep"), ["f1", "f2", "n_shingles"], "left"
@@ -216,12 +198,6 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
-    from .graph import connected_components
-
-    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-
-
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
     wanted = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())

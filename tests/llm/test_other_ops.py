@@ -75,6 +75,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.link_documents(df.limit(0)).count() == 0
 
 
+def test_twins_over_a_template_are_all_linked(spark):
+    """400 shingles in common: twins are 0.86 alike, all others 0.83, so that band keys are full of pairs that fail."""
+    core = " ".join(f"core{i}" for i in range(404))
+    texts = []
+    for pair in range(60):
+        for side in (0, 1):
+            own = " ".join(f"own{pair}x{side}x{i}" for i in range(33))
+            texts.append((2 * pair + side, f"{core} " + " ".join(f"pair{pair}x{i}" for i in range(9)) + f" {own}"))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.link_documents(df, 85).collect()}
+    assert got == slow_components(texts, 85) and {c for _, c in got.values()} == set(range(0, 120, 2))
+
+
+def test_every_pair_of_a_group_is_tried(spark):
+    from pactum.llm.common import Scratch
+    from pactum.llm.graph import link_groups
+
+    rows = [(k, i, 100 + i % 30) for k in (1, 2) for i in range(k * 1000, k * 1000 + 90)]
+    twins = {(k * 1000 + i, k * 1000 + i + 45) for k in (1, 2) for i in range(45)}
+    scratch = Scratch(spark, "test")
+    df = scratch.write(spark.createDataFrame(rows, "key long, id long, size long"))
+    out = link_groups(df, 50, lambda pairs: pairs.where("b = a + 45"), scratch)
+    assert {(r.root, r.node) for r in out.collect() if r.root != r.node} == twins
+
+
 def test_registers_and_estimate():
     rng = np.random.RandomState(0)
     pool = rng.randint(0, 2**63, 40000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
