@@ -204,6 +204,16 @@ def test_recall_of_fuzzy_lines(spark):
     assert len(pairs) > 140 and sum(found) >= 0.95 * len(pairs)
 
 
+def test_lines_of_few_words(spark):
+    """Equal lines of few words go; fuzzy copies where the characters are many enough, whatever the script."""
+    script = "".join(chr(0x4E00 + 37 * i) for i in range(40))
+    lines = ["Copyright Somebody", script + "。", "Antidisestablishmentarianism, uncharacteristically"]
+    near = ["Copyright Samebody", script[:20] + "一" + script[21:], "Antidisestablishmentarianism uncharakteristically"]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join(near))], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: ("\n".join(lines), 0), 2: ("", 3), 3: (near[0], 2)}
+
+
 def test_long_lines_with_a_part_put_in(spark):
     rng = random.Random(9)
     line = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(715))
