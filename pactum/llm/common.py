@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, as the cluster names it; a temporary one only where none is set."""
+    """The folder every executor sees, as the cluster names it; a temporary one only in local mode, where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="pactum-shared-")
         atexit.register(shutil.rmtree, named, True)
     if not sc.getCheckpointDir():
@@ -44,6 +46,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/pactum-{label}-{uuid.uuid4().hex}"
         self.made = 0
+        self.held: list[str] = []
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.made}"
@@ -51,7 +54,7 @@ class Scratch:
         before = self.spark.conf.get(FILE_CLEANUP, None)
         self.spark.conf.set(FILE_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(FILE_CLEANUP)
@@ -59,13 +62,24 @@ class Scratch:
                 self.spark.conf.set(FILE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pactum_path = path
+        self.held.append(path)
         return out
 
     def release(self, *tables: DataFrame) -> None:
+        self._delete(getattr(t, "_pactum_path", None) for t in tables)
+
+    def release_all(self, but: list[DataFrame] = ()) -> None:
+        """Deletes every table but those that the result reads."""
+        kept = {t._pactum_path for t in but}
+        self._delete([p for p in self.held if p not in kept])
+
+    def _delete(self, paths) -> None:
         jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._pactum_path)
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+        for name in paths:
+            if name in self.held:
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+                self.held.remove(name)
 
 
 class Membership:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -42,52 +40,71 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     )
 
 
-def link_groups(rows: DataFrame, percent: int, test: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame | None:
-    """Components of the members of groups under `test`, or None where no pair was tested.
+def join_components(components: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """components (node, root) and the scratch table of further links (a, b) as one table of components; links is released."""
+    if links.isEmpty():
+        scratch.release(links)
+        return components
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if components is not None:
+        edges = edges.unionByName(components.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    joined = scratch.write(connected_components(edges, scratch))
+    scratch.release(links, *([] if components is None else [components]))
+    return joined
+
 
-    rows: scratch table (key, id, size), released here; test: the pairs (a, b) of ids that are links, of those given.
-    Two members can be linked only where 100 * smaller size >= percent * larger. Every round tests all members of a
-    group against its pivots: its smallest member first, then about 4, 16, 64 and so on drawn by hash. A pivot that is
-    tested leaves the group. Rounds end when each pair of a group is tested, or already in one component.
+def pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each group's members with its most central one.
+
+    rows: (key, id, size). Central is the member whose groups are largest in sum, ties to the smaller id: of near copies
+    of one text that is the text with the fewest changes of its own. Members can be linked only where
+    100 * smaller size >= percent * larger.
     """
-    links = components = tried = None
-    turn = 0
-    while True:
-        if turn == 0:
-            pivots = rows.groupBy("key").agg(F.min(F.struct(F.col("id").alias("p"), F.col("size").alias("ps"))).alias("m")).select("key", "m.p", "m.ps")
-        else:
-            drawn = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("c")) < F.lit(4**turn)
-            pivots = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key").where(drawn)
-            pivots = scratch.write(pivots.select("key", F.col("id").alias("p"), F.col("size").alias("ps")))
-        pairs = rows.join(pivots, "key").where("id <> p").where(F.expr(f"100L * least(size, ps) >= {percent}L * greatest(size, ps)"))
-        if components is not None:
-            # Roots are joined to the members and not to the pairs, so that only pairs of different components are made.
-            pairs = _rooted(rows, "id", "ri", components).join(_rooted(pivots, "p", "rp", components), "key")
-            pairs = pairs.where("ri <> rp").where(F.expr(f"100L * least(size, ps) >= {percent}L * greatest(size, ps)"))
-        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
-        if not pairs.isEmpty():
-            found = scratch.write(test(pairs))
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                components = scratch.write(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
-        left = rows.join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti")
-        rooted = left.withColumn("ri", F.col("id")) if components is None else _rooted(left, "id", "ri", components)
-        several = rooted.groupBy("key").agg(F.min("ri").alias("x"), F.max("ri").alias("y")).where("x < y").select("key")
-        after = scratch.write(left.join(several, "key", "left_semi"))
-        scratch.release(rows)
-        rows = after
-        if rows.isEmpty():
-            return components
-        turn += 1
-
-
-def _rooted(rows: DataFrame, side: str, name: str, components: DataFrame) -> DataFrame:
-    roots = components.select(F.col("node").alias(side), F.col("root").alias(name))
-    return rows.join(roots, side, "left").withColumn(name, F.coalesce(name, side))
+    counted = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
+    weight = counted.groupBy("id").agg(F.sum("c").alias("weight"))
+    best = rows.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), F.col("id").alias("p"), F.col("size").alias("ps"))).alias("m"))
+    pairs = rows.join(best.select("key", "m.p", "m.ps"), "key").where("id <> p").where(_sized("size", "ps", percent))
+    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
+def split_groups(rows: DataFrame, components: DataFrame | None, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups whose members lie in several components: of groups up to `most` members, and of larger ones."""
+    rooted = rooted_by(rows, components)
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y").select("key", "c")
+    left = scratch.write(rows.join(several, "key"))
+    return tuple(left.where(cut).select(*rows.columns) for cut in (f"c <= {most}", f"c > {most}"))
+
+
+def pairs_in_groups(rows: DataFrame, components: DataFrame | None, percent: int, scratch: Scratch, shared: int = 1) -> DataFrame:
+    """Pairs (a, b) of different components that are together in at least `shared` groups.
+
+    Where rows also have `pos`, a key is an item of a set in a common order and pos its place: pairs remain that can reach
+    the similarity `percent` if the item is the first they share.
+    """
+    rooted = scratch.write(rooted_by(rows, components))
+    # The members of a group's largest component are joined with the others only.
+    main = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"))
+    outer = rooted.join(main.select("key", F.col("m.root").alias("main")), "key").where("root <> main")
+    place = ["pos"] if "pos" in rows.columns else []
+    outer = outer.select("key", "main", *[F.col(c).alias(f"{c}_a") for c in ("id", "size", "root", *place)])
+    inner = rooted.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "root", *place)])
+    pairs = outer.join(inner, "key").where("root_a <> root_b and (root_b = main or id_a < id_b)").where(_sized("size_a", "size_b", percent))
+    if place:
+        pairs = pairs.where(f"least(size_a - pos_a, size_b - pos_b) * {100 + percent}L >= {percent}L * (size_a + size_b)")
+    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared).select("a", "b")
+
+
+def rooted_by(rows: DataFrame, components: DataFrame | None, side: str = "id") -> DataFrame:
+    """rows with the root of each row's id, or the id itself."""
+    if components is None:
+        return rows.withColumn("root", F.col(side))
+    roots = components.select(F.col("node").alias(side), "root")
+    return rows.join(roots, side, "left").withColumn("root", F.coalesce("root", side))
+
+
+def _sized(a: str, b: str, percent: int) -> Column:
+    return F.expr(f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})")
 
 
 def _state(edges: DataFrame) -> tuple:

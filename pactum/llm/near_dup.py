@@ -6,8 +6,11 @@ borrow the register of a non-empty bucket in a fixed pseudo-random order. Runs o
 keys; documents that share a key are candidates. Candidates are thinned by the Jaccard estimate that is
 corrected for accidental register collisions, and what is left is confirmed on the full shingle sets.
 
-Within the documents of one band key links to one pivot are tried first; later rounds choose more pivots among those
-left, until any two documents of a key are tried or in one component.
+Within the documents of one band key links to the most central one are tried first. The documents of keys that then
+still hold several components are joined exactly, by prefix filtering: with a document's shingles in order of their
+frequency among these documents, two sets can be similar enough only where the shortest prefixes that leave less than the
+needed overlap share a shingle. Texts over one template differ in shingles of their own, which come first, so a group of
+them makes no pairs unless they are linked.
 
 Defined results: a null, empty or white-space text has n_shingles 0 and is linked with nothing; repeated rows and
 texts with equal sets are linked at once through a 128-bit fingerprint of the set, whatever their number; an empty
@@ -19,6 +22,7 @@ rows that share a doc_id count as one document, linked where any of its texts is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Membership, Scratch, batch_token_hashes, mix64, small_batches
-from .graph import link_groups
+from .graph import join_components, pairs_in_groups, pivot_pairs, split_groups
 
 WORDS = 5
 BUCKETS = 128
@@ -165,27 +169,8 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketch = scratch.write(docs.mapInArrow(_sketch, SKETCH))
-    classes = sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.write(classes)
-    reps = (
-        sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("id"), "n", "reg", "bands")
-    )
-    reps = scratch.write(reps)
-    rows = reps.select(F.explode("bands").alias("key"), "id", F.col("n").alias("size"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("key")
-    rows = scratch.write(rows.join(shared, "key", "left_semi"))
-    least = percent / 100 - SLACK
-
-    def test(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            sized = reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("reg").alias(f"r{side}"))
-            pairs = pairs.join(sized, side)
-        likely = scratch.write(pairs.mapInArrow(lambda it: _likely(it, least), "a long, b long, na long, nb long"))
-        return _confirm(docs, likely, percent, scratch)
-
-    components = link_groups(rows, percent, test, scratch)
-
+    classes = scratch.write(sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
+    components = _link_classes(docs, sketch, classes, percent, scratch)
     members = sketch.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(
         classes.select("f1", "f2", F.col("n").alias("n_shingles"), "rep"), ["f1", "f2", "n_shingles"], "left"
     )
@@ -195,21 +180,57 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
         out = members.join(components.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
             "component_id", F.coalesce("root", "rep", "doc_id")
         )
+    scratch.release_all(but=[sketch, classes, *([] if components is None else [components])])
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough."""
-    wanted = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    maybe = Membership(wanted, F.xxhash64("id")).only()
-    # Only documents of a pair have their sets built; the joins below drop what the filter lets through besides.
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(lambda it: _sets(maybe(it)), "id long, items array<long>")
-    sets = scratch.write(sets)
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
+def _link_classes(docs: DataFrame, sketch: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Components (node, root) of the classes' representatives, or None where none is linked."""
+    # Of rows that share a doc_id each is a candidate under it.
+    reps = sketch.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "reg", "bands")
+    rows = reps.select(F.explode("bands").alias("key"), "id", F.col("n").alias("size"))
+    shared = rows.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("key")
+    rows = scratch.write(rows.join(shared, "key", "left_semi"))
+    if rows.isEmpty():
+        return None
+    wanted = scratch.write(rows.select("id").distinct())
+    reps = scratch.write(reps.select("id", "n", "reg").join(wanted, "id", "left_semi"))
+    # Only documents of a shared key have their sets built, once; the bounded filter spares most others the join.
+    likely = docs.where(Membership(wanted, F.xxhash64("id")).test(F.xxhash64("doc_id")))
+    likely = likely.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    sets = scratch.write(likely.mapInArrow(_sets, "id long, items array<long>"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return scratch.write(_confirm(reps, sets, scratch.write(pairs), percent))
+
+    components = join_components(None, confirmed(pivot_pairs(rows, percent)), scratch)
+    open_rows = split_groups(rows, components, 0, scratch)[1]
+    if not open_rows.isEmpty():
+        prefixes = scratch.write(_prefixes(sets, open_rows.select("id").distinct(), percent))
+        pairs = pairs_in_groups(split_groups(prefixes, components, 0, scratch)[1], components, percent, scratch)
+        components = join_components(components, confirmed(pairs), scratch)
+    return components
+
+
+def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(key, id, size, pos): for each set, as many of its rarest shingles as must hold one of any set similar enough."""
+    own = sets.join(ids, "id", "left_semi").select("id", F.size("items").alias("size"), F.explode("items").alias("key"))
+    often = own.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    ranked = own.join(often, "key").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
+    first = ranked.select("id", "size", F.posexplode(F.slice("r", 1, F.expr(f"cast(size - (size * {percent}L + 99) div 100 + 1 as int)"))).alias("pos", "x"))
+    return first.where("x.df > 1").select("x.key", "id", "size", "pos")
+
+
+def _confirm(reps: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose estimate and then whose full shingle sets are similar enough."""
+    for side in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("reg").alias(f"r{side}")), side)
+    likely = pairs.mapInArrow(partial(_likely, least=percent / 100 - SLACK), "a long, b long, na long, nb long")
+    both = likely.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
     shared = F.size(F.array_intersect("ia", "ib"))
-    both = both.withColumn("shared", shared).where(F.expr(f"100L * shared >= {percent}L * (na + nb - shared)"))
-    return both.select("a", "b")
+    both = both.withColumn("shared", shared).where(F.expr(f"100L * shared >= {percent}L * (size(ia) + size(ib) - shared)"))
+    return both.select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -2,10 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,16 +91,28 @@ def test_twins_over_a_template_are_all_linked(spark):
     assert got == slow_components(texts, 85) and {c for _, c in got.values()} == set(range(0, 120, 2))
 
 
-def test_every_pair_of_a_group_is_tried(spark):
-    from pactum.llm.common import Scratch
-    from pactum.llm.graph import link_groups
+def test_pairs_of_groups(spark):
+    """All pairs of different components, whichever component is the largest; sizes, shared groups and places count."""
+    from pactum.llm.graph import pairs_in_groups, pivot_pairs, split_groups
 
-    rows = [(k, i, 100 + i % 30) for k in (1, 2) for i in range(k * 1000, k * 1000 + 90)]
-    twins = {(k * 1000 + i, k * 1000 + i + 45) for k in (1, 2) for i in range(45)}
     scratch = Scratch(spark, "test")
-    df = scratch.write(spark.createDataFrame(rows, "key long, id long, size long"))
-    out = link_groups(df, 50, lambda pairs: pairs.where("b = a + 45"), scratch)
-    assert {(r.root, r.node) for r in out.collect() if r.root != r.node} == twins
+    rng = random.Random(4)
+    rows = sorted({(rng.randrange(6), i, 100 + i % 30) for i in range(40) for _ in range(3)})
+    root = {i: i - i % 4 if i < 20 else i for i in range(40)}
+    df = spark.createDataFrame(rows, "key long, id long, size long")
+    components = spark.createDataFrame([(i, r) for i, r in root.items() if i < 20], "node long, root long")
+    for percent, shared in ((50, 1), (90, 1), (50, 2)):
+        want = {}
+        for (k, a, x), (m, b, y) in itertools.combinations(rows, 2):
+            if k == m and root[a] != root[b] and 100 * min(x, y) >= percent * max(x, y):
+                want[min(a, b), max(a, b)] = want.get((min(a, b), max(a, b)), 0) + 1
+        got = {tuple(r) for r in pairs_in_groups(df, components, percent, scratch, shared).collect()}
+        assert got == {p for p, c in want.items() if c >= shared}
+    star = {tuple(r) for r in pivot_pairs(df, 50).collect()}
+    assert all(a < b for a, b in star) and len(star) < len(rows)
+    small, large = split_groups(df, components, 15, scratch)
+    sizes = {k: sum(r[0] == k for r in rows) for k in range(6)}
+    assert {r.key for r in small.collect()} == {k for k in sizes if sizes[k] <= 15} and {r.key for r in large.collect()} == {k for k in sizes if sizes[k] > 15}
 
 
 def test_registers_and_estimate():
@@ -143,24 +158,28 @@ def test_line_dedup(spark):
     out = line_dedup.dedup_lines(df)
     got = {r.doc_id: r for r in out.collect()}
     assert got[1].text == docs[0][1] and got[1].n_dropped == 0
-    assert got[2].text == "short line" and got[2].n_dropped == 2 and got[2].n_lines == 3
+    assert got[2].text == "" and got[2].n_dropped == 3 and got[2].n_lines == 3
     assert got[3].text == "" and got[3].n_dropped == 1
     assert got[4].text is None and got[4].n_lines == 0 and got[5].text == "" and got[6].text == docs[5][1] and got[7].text == docs[6][1]
     assert got[None].text == base and got[1].source == "c"
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_simhash_and_keys(spark):
-    """SimHash bits from their definition, and that keys meet for every change of up to three bits."""
-    df = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
-    sim = line_dedup.occurrences(df).first().sim
-    hashes = [r[0] for r in spark.createDataFrame([(w,) for w in "one two three four five six".split()], "w string").select(F.xxhash64("w")).collect()]
-    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 6)
-    assert sim & (2**64 - 1) == want
-    rng = random.Random(2)
-    flips = [sim ^ sum(1 << b for b in rng.sample(range(63), 3)) for _ in range(200)]
-    keys = [set(r[0]) for r in spark.createDataFrame([(x,) for x in [sim, *flips]], "s long").select(line_dedup.block_keys(F.col("s"))).collect()]
-    assert all(keys[0] & k for k in keys[1:])
+def test_blocks_follow_their_definition(spark):
+    """Majorities of three hashes that follow each other, begun where the low bits of the first are zero."""
+    text = " ".join(f"w{i}" for i in range(50))
+    words = text.split()
+    pairs = spark.createDataFrame(list(zip(words, words[1:])), "a string, b string").select(F.xxhash64("a", "b")).collect()
+    h = sorted(r[0] for r in pairs)
+    want = set()
+    for i, x in enumerate(h):
+        if x % 4 == 0:
+            y, z = h[(i + 1) % len(h)], h[(i + 2) % len(h)]
+            want.add(x & y | y & z | x & z)
+    got = line_dedup.block_keys(spark.createDataFrame([(1, text)], "h long, norm string")).collect()
+    assert {r.key for r in got} == want and {(r.id, r.size) for r in got} == {(1, len(text))}
+    whole = {r.key for r in line_dedup.block_keys(spark.createDataFrame([(1, text)], "h long, norm string"), all_hashes=True).collect()}
+    assert want < whole and len(whole) == len(h)
 
 
 def test_edit_similarity(spark):
@@ -222,6 +241,50 @@ def test_long_lines_with_a_part_put_in(spark):
     assert [r.n_dropped for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_lines_against_brute_force(spark):
+    """Every pair of lines by edit distance over a real table: what stays, and the share of linked lines that are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = sorted((r.doc_id, r.text) for r in docs.collect() if r.text)
+    norm = [(d, k, " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split())) for d, t in texts for k, line in enumerate(t.split("\n"))]
+    first, fuzzy = {}, []
+    for d, k, line in norm:
+        if line and line not in first:
+            first[line] = (d, k)
+            fuzzy += [line] if 20 <= len(line) <= 400 else []
+    root = {line: line for line in first}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    lines = pd.DataFrame({"t": fuzzy, "n": [len(x) for x in fuzzy]})
+    # Edit distance is at least half the sum of what the letters' counts differ by.
+    for c in "aeinrsthdol":
+        lines[f"c{c}"] = [x.count(c) for x in fuzzy]
+    apart = " + ".join(f"abs(x.c{c} - y.c{c})" for c in "aeinrsthdol")
+    sql = f"SELECT x.t, y.t FROM lines x JOIN lines y ON x.t < y.t AND abs(x.n - y.n) <= 0.2 * greatest(x.n, y.n) AND {apart} <= 0.4 * greatest(x.n, y.n) WHERE levenshtein(x.t, y.t) <= 0.2 * greatest(x.n, y.n)"
+    for a, b in duckdb.sql(sql).fetchall():
+        x, y = sorted((find(a), find(b)), key=lambda line: first[line])
+        root[y] = x
+    gone = collections.Counter(d for d, k, line in norm if line and len(line) <= 400 and first[find(line)] != (d, k))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect() if r.n_dropped}
+    assert sum(gone.values()) > 100 and sum(got.values()) >= 0.95 * sum(gone.values())
+    long = {d for d, _, line in norm if len(line) > 400}
+    assert all(got[d] <= gone[d] for d in got if d not in long)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "one line here\nanother line"), (1, "one line here\nanother line"), (1, "third line of text\none line here"), (2, "another line")] + [(None, "one line here")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
+    assert sum(d == 0 and t == "one line here" for d, t, _ in got) == 2
+    # The texts of document 1 are two documents; the equal rows are one.
+    lines = [t.split("\n") if t else [] for d, t, _ in got if d]
+    assert sum("third line of text" in x for x in lines) == 1 and {len(x) for x in lines} <= {0, 1, 2}
+    assert [r for r in got if r[0] == 2][0][1] == ""
+
+
 def test_plans_hold_no_python(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert "Python" not in line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
