@@ -16,6 +16,14 @@ WHOLE = r"^[ \t\n\x0B\f\r]*([+-]?\d+)"
 
 def float_text(x: Column) -> Column:
     """Six significant digits, without trailing zeros but with `.0` where nothing follows; JVM-side, so it works in lambdas."""
+    short = x.cast("string")
+    # Of plain notation and at most six digits, the shortest form is that of six digits.
+    plain = (x == 0) | (F.abs(x).between(1e-3, 999_999.0) & (F.length(F.translate(short, "-.", "")) <= 6))
+    whole_number = (F.abs(x) < 1e6) & (x != 0) & (x == F.floor(x))
+    return F.when(whole_number, F.concat(x.cast("bigint").cast("string"), F.lit(".0"))).when(plain, short).otherwise(_six_digits(x))
+
+
+def _six_digits(x: Column) -> Column:
     shown = F.format_string("%.5e", x)
     minus = F.when(F.startswith(shown, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     digits = F.regexp_replace(F.regexp_extract(shown, r"^-?([\d.]+)e", 1), r"\.", "")

@@ -28,14 +28,18 @@ def join_lookup(df: DataFrame, values: list[Column], source: DataFrame, keys: li
 
 
 def join_elements(df: DataFrame, lists: list[Column], source: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
-    """df with an array column `name` of the records looked up for each place of the key lists (all of one length)."""
-    row = f"{name}:row"
-    temp = [f"{name}:l{i}" for i in range(len(lists))]
-    left = df.withColumns({row: F.monotonically_increasing_id()} | dict(zip(temp, lists, strict=True)))
-    first, n = F.col(f"`{temp[0]}`"), range(len(lists))
-    zipped = F.transform(first, lambda x, i: F.struct(*[F.get(F.col(f"`{temp[k]}`"), i).alias(f"z{k}") for k in n]))
-    places = left.select(F.col(f"`{row}`"), F.posexplode(zipped).alias("p", "z"))
-    found = join_lookup(places.select(F.col(f"`{row}`").alias("row"), "p", "z"), [F.col("z").getField(f"z{i}") for i in range(len(lists))], source, keys, fields, "hit")
-    packed = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", "hit"))).alias("a"))
-    packed = packed.select("row", F.transform("a", lambda s: s["hit"]).alias(name))
-    return left.join(packed, F.col(f"`{row}`") == F.col("row"), "left").drop("row", row, *temp)
+    """df with an array column `name` of the records looked up for each place of the key lists (all of one length).
+
+    What is found depends on the key lists alone: each distinct one is looked up once and joined back by its value, so no
+    row needs a number, which a retried task could give anew.
+    """
+    asked = f"{name}:keys"
+    first, n = lists[0], range(len(lists))
+    zipped = F.transform(first, lambda x, i: F.struct(*[F.get(lists[k], i).alias(f"z{k}") for k in n]))
+    left = df.withColumn(asked, zipped)
+    each = left.select(F.col(f"`{asked}`").alias("keys")).where("keys is not null").distinct()
+    places = each.select("keys", F.posexplode("keys").alias("p", "z"))
+    found = join_lookup(places, [F.col("z").getField(f"z{i}") for i in n], source, keys, fields, "hit")
+    packed = found.groupBy("keys").agg(F.array_sort(F.collect_list(F.struct("p", "hit"))).alias("a"))
+    packed = packed.select("keys", F.transform("a", lambda s: s["hit"]).alias(name))
+    return left.join(packed, F.col(f"`{asked}`") == F.col("keys"), "left").drop("keys", asked)

@@ -10,7 +10,7 @@ from ..errors import TagViolation, TypeFault
 from ..formatter import expression_text, pattern_text
 from ..functions.base import Typed, lit
 from ..tags import Taint
-from ..types import STRING, record
+from ..types import STRING
 from .patterns import matched
 
 MODES = ("raise", "quarantine", "drop", "off")
@@ -28,11 +28,7 @@ def referred(ref: Node, inputs: dict[str, Typed], outputs: dict[str, Typed]) ->
 
 def predicates(contract: Node, lower, inputs: dict[str, Typed], outputs: dict[str, Typed]) -> list[tuple[Column, str]]:
     """(what must hold, never null; message) of each require and match rule."""
-
-    def whole(fields: dict[str, Typed]) -> Typed:
-        return Typed(F.struct(*[v.col.alias(n) for n, v in fields.items()]), record((n, v.type) for n, v in fields.items()), parts=fields)
-
-    env = {"input": whole(inputs), "output": whole(outputs)}
+    env = {"input": lower.bundle(inputs), "output": lower.bundle(outputs)}
     out = []
     for r in contract.rules:
         if r.kind == "require":

@@ -107,6 +107,13 @@ class Lifted(Lower):
 
     # ------------------------------------------------------------ relations
 
+    def bundle(self, fields: dict[str, Typed]) -> Typed:
+        return Lists(fields) if any(isinstance(v, Relation) for v in fields.values()) else super().bundle(fields)
+
+    def on_field(self, e: Node, env) -> Typed:
+        of = self.expr(e.of, env)
+        return of.fields[e.name] if isinstance(of, Lists) and e.name in of.fields else super().on_field(e, env)
+
     def needs_row(self, v) -> None:
         if isinstance(v, Relation):
             raise NotLiftable

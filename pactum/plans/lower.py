@@ -137,6 +137,10 @@ class Lower:
     def on_not(self, e: Node, env) -> Typed:
         return Typed(~self.truth(self.expr(e.of, env), e.pos), BOOLEAN)
 
+    def bundle(self, fields: dict[str, Typed]) -> Typed:
+        """The inputs or outputs as one record."""
+        return assemble(fields)
+
     def truth(self, v: Typed, pos) -> Column:
         if v.type.kind == "any":
             return F.try_variant_get(v.col, "$", "boolean")

@@ -179,12 +179,13 @@ class Program:
 
     # ------------------------------------------------------------ lists as DataFrames
 
-    def aggregate(self, df: DataFrame, order: str | None = None, catalog: Catalog | None = None, now: str | None = None, snake: bool = False, others: dict[str, DataFrame] | None = None, fallback: bool = True) -> DataFrame:
+    def aggregate(self, df: DataFrame, order: str | None = None, catalog: Catalog | None = None, now: str | None = None, snake: bool = False, others: dict[str, DataFrame] | None = None, fallback: bool = False) -> DataFrame:
         """Runs a contract whose inputs are lists with each list bound to a DataFrame (others: of further inputs).
 
         order: the column that says in which order the list's elements stand. Scalar results give one row; a single list
-        result gives its elements as rows; lists beside scalars are gathered into arrays. What can't be lifted runs on the gathered list
-        (correct, but the list then has to fit in one row) unless fallback is off.
+        result gives its elements as rows; lists beside scalars are gathered into arrays. Rules on inputs and outputs raise.
+        What can't be lifted is an error, or with fallback runs on the gathered list: that list then has to fit in one
+        row of one task, and needs an order.
         """
         self._function_only()
         frames = {self.contract.inputs[0].name: df} | (others or {})
@@ -199,10 +200,12 @@ class Program:
         lower = Lifted(self.tree, inputs, context, order=by)
         try:
             result = lower.run_lifted()
-            return self._lifted_rows(lower, result, df.sparkSession, snake)
+            return self._lifted_rows(lower, result, inputs, df.sparkSession, snake)
         except NotLiftable:
             if not fallback or others:
                 raise TypeFault("this program cannot be lifted", self.tree.function.pos) from None
+        if order is None:
+            raise ContractError("a list that is gathered into one row needs an order", self.contract.inputs[0].pos)
         name = self.contract.inputs[0].name
         rel = inputs[name]
         key = [by.alias("k")] if order else []
@@ -210,12 +213,14 @@ class Program:
         row = packed.select(F.transform("a", lambda s: s["v"]).alias(name))
         return self.transform(row, catalog=catalog, now=now, snake=snake)
 
-    def _lifted_rows(self, lower: Lifted, result, spark: SparkSession, snake: bool) -> DataFrame:
+    def _lifted_rows(self, lower: Lifted, result, inputs: dict, spark: SparkSession, snake: bool) -> DataFrame:
         rename = (lambda n: n.replace("-", "_")) if snake else (lambda n: n)
         names = [f.name for f in self.contract.outputs]
         if isinstance(result, Lists):
             lists = {n: v for n, v in result.fields.items() if isinstance(v, Relation)}
             if len(names) == 1:
+                if any(r.kind in ("require", "match-rule") for r in self.contract.rules):
+                    raise TypeFault("rules are not checked where the result is one list of rows", self.contract.pos)
                 t, f = declared(self.contract.outputs[0].type), self.contract.outputs[0]
                 rel = lists[names[0]]
                 df = rel.frame()
@@ -227,7 +232,7 @@ class Program:
 
             result = assemble(whole)
         outputs = self._shaped_outputs(lower, result)
-        checks = [c for c in rules.predicates(_with_output_rules(self.contract), lower, {}, outputs)]
+        checks = rules.predicates(self.contract, lower, inputs, outputs)
         df = lower.row(spark).select(*[v.col.alias(f"out:{n}") for n, v in outputs.items()]) if not checks else rules.apply(lower.row(spark), checks, "raise").select(*[v.col.alias(f"out:{n}") for n, v in outputs.items()])
         return df.select(*[F.col(quote(f"out:{n}")).alias(rename(n)) for n in names])
 
@@ -269,12 +274,6 @@ class Program:
         return out
 
 
-def _with_output_rules(contract: Node) -> Node:
-    """The contract with those rules only that a whole-DataFrame run can check: they name outputs."""
-    mine = [r for r in contract.rules if r.kind in ("require", "match-rule") and r.ref.side == "output"]
-    return contract.with_parts(rules=mine)
-
-
 def _schema(fields) -> T.StructType:
     return T.StructType([T.StructField(n, spark_type(t), True, {"tags": list(tags)} if tags else None) for n, t, tags in fields])
 

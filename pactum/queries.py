@@ -351,6 +351,13 @@ LIFT_STRINGS = contract(
     shouted: length({ list: filter (map $people as r do r.c-mktsegment through lower({}) end) where s starts-with({ value: s, prefix: "b" }) end }),
     segments: length({ list: unique({ list: map $people as t do t.c-mktsegment end }) })""",
 )
+#: For generated records: its result doesn't grow with the list.
+SHAPE_STRINGS = contract(
+    "shape-strings", PEOPLE, "shouted as integer, segments as integer, letters as integer",
+    """shouted: length({ list: filter (map $people as r do r.c-mktsegment through lower({}) end) where s starts-with({ value: s, prefix: "b" }) end }),
+    segments: length({ list: unique({ list: map $people as t do t.c-mktsegment through upper({}) end }) }),
+    letters: fold({ list: map $people as u do length({ value: u.c-name through trim({}) through replace({ find: "Customer", replacement: "C" }) }) end, initial: 0, fn: "add" })""",
+)
 LIFT_LISTS = contract(
     "lift-lists", PEOPLE, "nations as integer, sorted as integer, lowest as string, page as list of string",
     """nations: length({ list: unique({ list: map $people as p do p.c-nationkey end }) }), sorted: length({ list: sort-by({ list: $people, field: "c-acctbal" }) }),
@@ -411,6 +418,26 @@ def fold_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HMAC = contract("hmac", "c-name as string, c-mktsegment as string", "fixed as string, keyed as string", 'fixed: hmac-sha256({ value: $c-name, key: "secret" }), keyed: hmac-sha256({ value: $c-name, key: $c-mktsegment })')
+#: A key up to a block long, filled up with zeros, combined byte by byte with 0x36 and 0x5c.
+HMAC_SQL = """WITH pads AS (
+  SELECT k, from_hex(array_to_string(list_transform(b, lambda x: printf('%02x', xor(x, 54))), '')) AS i, from_hex(array_to_string(list_transform(b, lambda x: printf('%02x', xor(x, 92))), '')) AS o
+  FROM (SELECT k, list_transform(range(0, 64), lambda n: CASE WHEN n < length(k) THEN ascii(substr(k, n + 1, 1)) ELSE 0 END) AS b FROM (SELECT DISTINCT c_mktsegment AS k FROM customer UNION SELECT 'secret')))
+SELECT c_custkey, sha256(f.o || from_hex(sha256(f.i || encode(c_name)))) AS fixed, sha256(p.o || from_hex(sha256(p.i || encode(c_name)))) AS keyed
+FROM customer JOIN pads p ON p.k = c_mktsegment JOIN pads f ON f.k = 'secret'"""
+MATCH_RECORD = contract(
+    "match-record", "o-orderstatus as string, o-orderpriority as string, o-totalprice as float, o-custkey as integer", "kind as string",
+    """kind: match order
+      when { state: { status: "F", rank: r }, thousands: between 100 and 200 } then "closed " + r
+      when { state: { status: "F" } } then "closed"
+      when { state: { rank: "1-URGENT" }, buyers: [c] } then "urgent for " + to-string({ value: c })
+      when { state: { status: "O" }, thousands: n } and n > 300 then "large " + to-string({ value: n })
+      else "other"
+    end""",
+    lets="""let order be {
+      state: { status: $o-orderstatus, rank: $o-orderpriority }, thousands: floor({ value: $o-totalprice / 1000.0 }),
+      buyers: if $o-custkey mod 2 = 0 then [$o-custkey] else [$o-custkey, 0] end
+    }""",
+)
 UUID = contract("uuid-gen", "c-name as string", "id as string, size as integer", "id: id, size: length({ value: id })", lets="let id be uuid({})")
 
 
@@ -459,7 +486,13 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
     ),
     "union_distinct": (union_distinct, "SELECT c_nationkey::BIGINT AS keys FROM customer UNION SELECT (s_nationkey + 5)::BIGINT FROM supplier"),
     "fold_product": (fold_product, "SELECT printf('%.6e', 2.0::DOUBLE * product(s_nationkey / 10.0::DOUBLE + 1.0::DOUBLE) FILTER (s_nationkey / 10.0::DOUBLE + 1.0::DOUBLE < 3)) AS product, count(*) AS n FROM supplier"),
-    "hmac": (simple(HMAC, "customer", ["c_custkey"]), None),
+    "hmac": (simple(HMAC, "customer", ["c_custkey"]), HMAC_SQL),
+    "match_record": (
+        simple(MATCH_RECORD, "orders", ["o_orderkey"]),
+        """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND floor(o_totalprice / 1000) BETWEEN 100 AND 200 THEN 'closed ' || o_orderpriority
+        WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderpriority = '1-URGENT' AND o_custkey % 2 = 0 THEN 'urgent for ' || o_custkey
+        WHEN o_orderstatus = 'O' AND floor(o_totalprice / 1000) > 300 THEN 'large ' || floor(o_totalprice / 1000)::BIGINT ELSE 'other' END AS kind FROM orders""",
+    ),
     "uuid_gen": (simple(UUID, "customer", ["c_custkey"]), None),
 }
 

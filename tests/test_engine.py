@@ -247,9 +247,11 @@ def test_dataset_level_equals_row_level(spark, shape):
 def test_fallback_runs_on_the_gathered_list(spark):
     text = contract("m: match l when [a, b, ..rest] then length({ list: rest }) else 0 end", "l as list of integer", "m as integer")
     rows = spark.range(9).select(F.col("id").alias("i"), F.col("id").alias("l"))
-    assert Program.from_text(text).aggregate(rows, order="i").first().m == 7
+    assert Program.from_text(text).aggregate(rows, order="i", fallback=True).first().m == 7
     with pytest.raises(TypeFault):
-        Program.from_text(text).aggregate(rows, order="i", fallback=False)
+        Program.from_text(text).aggregate(rows, order="i")
+    with pytest.raises(ContractError):
+        Program.from_text(text).aggregate(rows, fallback=True)
 
 
 def test_one_scan_for_all_aggregates(spark):
@@ -286,3 +288,34 @@ def test_names_and_metadata(spark):
     assert p.transform(df, snake=True).columns == ["x_y"]
     assert p.transform(df).first()["x-y"] == 4
     assert p.input_schema.simpleString() == "struct<a-b:bigint>"
+
+
+# ---------------------------------------------------------------- whole tables
+
+
+def test_rules_hold_over_whole_tables(spark):
+    """Rules on the list input and on outputs are enforced when the list is a DataFrame, or refused."""
+    body, outputs = 'n: length({ list: $l }), t: fold({ list: $l, initial: 0, fn: "add" })', "n as integer, t as integer"
+    rows = spark.range(4).select(F.col("id").alias("l")).repartition(3)
+    for rules, good in (("require input.l length({ list: input.l }) > 3 end", True), ("require input.l length({ list: input.l }) > 4 end", False), ("require output.t output.t = 6 end", True), ("require output.t output.t < 6 end", False)):
+        p = Program.from_text(contract(body, "l as list of integer", outputs, rules=f"rules {rules} end"))
+        if good:
+            assert p.aggregate(rows).first().t == 6
+        else:
+            with pytest.raises(Exception, match="rejected"):
+                p.aggregate(rows).collect()
+    p = Program.from_text(contract("k: filter $l where x x > 1 end", "l as list of integer", "k as list of integer", rules="rules require input.l length({ list: input.l }) > 4 end end"))
+    with pytest.raises(TypeFault):
+        p.aggregate(rows)
+
+
+def test_lookups_of_elements_over_shuffled_rows(spark):
+    """Each row gets the records of its own list, whatever shuffles lie before, with equal, empty, null and unknown lists."""
+    source = spark.createDataFrame([(f"k{i}", 1, f"v{i}", None) for i in range(40)], "k string, n long, v string, w double")
+    text = contract('vs: map l as e do (lookup src where k = e, n = 1 end).v or else "?" end, i: $i', "i as integer, l as list of string", "i as integer, vs as list of string", "sources src")
+    rows = [(i, [f"k{(i * j) % 50}" for j in range(i % 5)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, l array<string>").repartition(7, "l").groupBy("i").agg(F.first("l").alias("l"))
+    p = Program.from_text(text, {"src": SOURCE})
+    got = {r.i: r.vs for r in p.transform(df, catalog=Catalog(spark).register("src", source)).collect()}
+    want = {i: ["v" + k[1:] if int(k[1:]) < 40 else "?" for k in keys] for i, keys in rows}
+    assert {i: v or [] for i, v in got.items()} == want

@@ -19,7 +19,7 @@ def test_registered_queries_have_sql():
     names = entry.queries()
     assert {"lift_mixed", "top_k", "lookup_customer"} <= set(names)
     assert set(entry.oracle_sql()) <= set(names)
-    assert {n for n in names if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"} == {"hmac", "uuid_gen"}
+    assert {n for n in names if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"} == {"uuid_gen"}
 
 
 def test_nothing_else_needs_the_corpus_part():
