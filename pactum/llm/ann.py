@@ -2,28 +2,30 @@
 
 A bounded sample of vectors serves as pivots. Every vector is represented by its nearest pivots in order (the head of
 its permutation); each index block posts its vectors into one inverted file per pivot, with the rank. A query adds up,
-over the files of its own pivots, what shared pivots save of the footrule distance; the part of the block with the
-smallest distance is reranked by the exact inner product in double precision.
+over the files of its own pivots, what shared pivots save of the footrule distance, and the vectors with the smallest
+distance are reranked by the exact inner product in double precision.
 
-PIVOTS bounds the sample (it is the only thing all tasks share), HEAD the permutation's length, and PART the share of
-a block that is reranked: on directions without structure in 64 dimensions 0.15 keeps over 0.95 of the true 20 nearest.
-Blocks of at most BLOCK rows whose part would be under LEAST are reranked whole, so small tables are answered exactly.
+Pivots order directions, and the measure is the inner product: so a line fitted in each block over its pivots turns the
+footrule into a cosine, which times the vector's norm is what candidates are ranked by. With equal norms that is the order
+of the footrule itself.
+
+PIVOTS bounds the sample (it is the only thing all tasks share), HEAD the permutation's length. Of a block of n rows
+RERANK * sqrt(k * n) are reranked, whatever n; blocks have about BLOCK rows and meet the queries in packs of about
+QUERIES, as the stated query set asks every row. The README has the measured recall.
 
 Equal vectors are one entry that carries its smallest ids, as many as a result can name; so hot vectors cost one row.
 
-Defined results: vectors that are null, zero or hold null or non-finite components take no part; nor do those of
-another length than the most common one (ties: the longer); fewer candidates than k give fewer rows; ties go to
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; vectors of different
+lengths have no inner product and are never compared; fewer candidates than k give fewer rows; ties go to
 the smaller vec_id; rows that repeat a vec_id with the same vector count once; an empty table gives an empty result;
 columns besides vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,20 +33,26 @@ from .common import Scratch
 
 PIVOTS = 128
 HEAD = 64
-PART = 0.15
-LEAST = 400
+RERANK = 4.5
 BLOCK = 8192
-BLOCKS_LEAST = 16
-QUERIES = 1024
+QUERIES = 8192
+#: Pivots of so many lengths are sampled, the most common ones; those of further lengths are drawn at random.
+LENGTHS = 16
+#: Pivots whose distances fit the line from the footrule to the cosine.
+FITTED = 16
 
 
 def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    rows = rows.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v")).where(fine)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (sizes["d"] if sizes else 0))
+    return rows.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v")).where(fine)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    # Scaled first, as squares of very large or small components leave the range of doubles.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def heads(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -57,8 +65,12 @@ class Block:
     """One index block: vectors and their postings."""
 
     def __init__(self, x: np.ndarray, pivots: np.ndarray):
+        """pivots: of length one."""
         self.x = x
-        head = heads(x, pivots)
+        directions = unit(x)
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        head = heads(directions, pivots)
         self.width = head.shape[1]
         pivot = head.reshape(-1)
         order = np.argsort(pivot, kind="stable")
@@ -66,6 +78,12 @@ class Block:
         # What a pivot at rank r can save at most against its absence.
         self.gain = (self.width - order % self.width).astype(np.int16)
         self.at = np.searchsorted(pivot[order], np.arange(len(pivots) + 1))
+        few = pivots[:FITTED]
+        gains = np.stack([self.footrule_gain(h) for h in heads(few, pivots)]).astype(np.float64)
+        cosines = few @ directions.T
+        spread = gains - gains.mean()
+        self.slope = max(float((spread * cosines).sum() / max(1.0, (spread**2).sum())), 1e-9)
+        self.offset = float(cosines.mean() - self.slope * gains.mean())
 
     def footrule_gain(self, head: np.ndarray) -> np.ndarray:
         """For each row, half of what its footrule distance to a query with this head is below the largest one."""
@@ -78,8 +96,9 @@ class Block:
     def search(self, q: np.ndarray, head: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best of the reranked part, with all that tie with the last."""
         n = len(self.x)
-        take = min(n, max(LEAST, int(np.ceil(PART * n))))
-        part = np.arange(n) if take == n else np.argpartition(-self.footrule_gain(head), take - 1)[:take]
+        take = min(n, int(np.ceil(RERANK * np.sqrt(k * n))))
+        near = self.norm * (self.offset + self.slope * self.footrule_gain(head))
+        part = np.argpartition(-near, take - 1)[:take]
         score = np.einsum("ij,j->i", self.x[part], q)
         if len(part) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
@@ -87,16 +106,12 @@ class Block:
         return part, score
 
 
-def _least_ids(keep: int):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                raw = [np.asarray(v, dtype=np.float64) + 0.0 for v in pdf["v"]]
-                pdf = pd.DataFrame({"raw": [v.tobytes() for v in raw], "vec_id": pdf["vec_id"]})
-                pdf = pdf.drop_duplicates().sort_values("vec_id").groupby("raw", sort=False).head(keep)
-                yield pdf
-
-    return work
+def _by_length(counts: dict[int, int], value) -> Column:
+    """value(rows of a length), by the length in column d."""
+    out = F.lit(1)
+    for d, n in sorted(counts.items()):
+        out = F.when(F.col("d") == d, value(n)).otherwise(out)
+    return out
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -106,53 +121,59 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
-    used = usable(rows)
-    asked = used.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    entry = used.mapInPandas(_least_ids(k + 1), "raw binary, vec_id long")
-    entry = entry.groupBy("raw").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
-    entry = scratch.write(entry.select(F.element_at("ids", 1).alias("cid"), "ids", "raw"))
-    n = entry.count()
-    to_raw = F.pandas_udf(lambda s: s.map(lambda v: (np.asarray(v, dtype=np.float64) + 0.0).tobytes()), "binary")
-    asked = asked.select(F.col("vec_id").alias("query_id"), to_raw("v").alias("raw")).distinct()
-    asked = scratch.write(asked.join(entry.select("raw", F.col("cid").alias("qcid")), "raw").select("query_id", "qcid"))
-    wanted = asked.select(F.col("qcid").alias("cid")).distinct()
-    pivots = [np.frombuffer(r["raw"]) for r in entry.orderBy(F.xxhash64("cid")).limit(PIVOTS).collect()]
-    pivots = np.stack(pivots) if pivots else np.zeros((0, 1))
-    blocks = max(BLOCKS_LEAST, -(-n // BLOCK))
-    m = wanted.count()
-    packs = max(1, -(-m // QUERIES))
+    used = scratch.write(usable(rows))
+    least = Window.partitionBy("v").orderBy("vec_id")
+    ids = used.distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
+    entry = ids.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    entry = scratch.write(entry.select(F.element_at("ids", 1).alias("cid"), "ids", "v", F.size("v").alias("d")))
+    asked = used.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "v").distinct()
+    asked = scratch.write(asked.join(entry.select("v", "d", F.struct("cid", "d").alias("qcid")), "v").select("query_id", "qcid"))
+    sizes = {r["d"]: r["count"] for r in entry.groupBy("d").count().collect()}
+    common = sorted(sizes, key=lambda d: (-sizes[d], d))[:LENGTHS]
+    drawn = Window.partitionBy("d").orderBy(F.xxhash64("cid", "v"))
+    sample = entry.where(F.col("d").isin(common)).withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= PIVOTS)
+    found: dict[int, list] = {}
+    for r in sample.select("d", "r", "v").collect():
+        found.setdefault(r["d"], []).append((r["r"], r["v"]))
+    pivots = {d: unit(np.array([v for _, v in sorted(some)])) for d, some in found.items()}
     shared = spark.sparkContext.broadcast(pivots)
+    wanted = asked.select("qcid.cid", "qcid.d").distinct()
+    asking = {r["d"]: r["count"] for r in wanted.groupBy("d").count().collect()}
+    blocks, packs = _by_length(sizes, lambda n: -(-n // BLOCK)), _by_length(asking, lambda n: -(-n // QUERIES))
 
-    left = entry.select(F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("p"), "cid", "raw")
+    def dealt(number: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), number - 1))
+
+    left = entry.withColumn("p", dealt(packs)).select(F.col("d").alias("d"), F.pmod(F.xxhash64("cid"), blocks).alias("b"), "p", "cid", "v")
     # A stated query set, in packs, against every block of the index.
-    ask = entry.join(wanted, "cid", "left_semi").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"),
-        F.pmod(F.xxhash64("cid"), F.lit(packs)).cast("int").alias("p"),
-        F.col("cid").alias("qcid"),
-        F.col("raw").alias("qraw"),
-    )
+    ask = entry.join(wanted, ["cid", "d"], "left_semi").withColumn("b", dealt(blocks))
+    ask = ask.select(F.col("d").alias("d"), F.col("b").cast("long").alias("b"), F.pmod(F.xxhash64("cid"), packs).cast("int").alias("p"), F.col("cid").alias("qcid"), F.col("v").alias("qv"))
 
     def search(index: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(asks):
-            return pd.DataFrame({"qcid": [], "cid": [], "score": []}).astype({"qcid": "int64", "cid": "int64"})
-        block = Block(np.stack([np.frombuffer(r) for r in index["raw"]]), shared.value)
+            return pd.DataFrame({"d": [], "qcid": [], "cid": [], "score": []}).astype({"d": "int32", "qcid": "int64", "cid": "int64"})
+        d = int(index["d"].iloc[0])
+        own = shared.value.get(d)
+        if own is None:
+            own = unit(np.random.RandomState(d & 0x7FFFFFFF).standard_normal((PIVOTS, d)))
+        block = Block(np.stack(index["v"].to_numpy()), own)
         ids = index["cid"].to_numpy()
-        q = np.stack([np.frombuffer(r) for r in asks["qraw"]])
+        q = np.stack(asks["qv"].to_numpy())
         out = []
-        for qcid, x, head in zip(asks["qcid"], q, heads(q, shared.value), strict=True):
+        for qcid, x, head in zip(asks["qcid"], q, heads(unit(q), own), strict=True):
             part, score = block.search(x, head, k + 1)
             order = np.lexsort((ids[part], -score))[: k + 1]
-            out.append(pd.DataFrame({"qcid": qcid, "cid": ids[part[order]], "score": score[order]}))
+            out.append(pd.DataFrame({"d": np.int32(d), "qcid": qcid, "cid": ids[part[order]], "score": score[order]}))
         return pd.concat(out)
 
-    found = left.groupBy("b", "p").cogroup(ask.groupBy("b", "p")).applyInPandas(search, "qcid long, cid long, score double")
-    best = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
+    found = left.groupBy("d", "b", "p").cogroup(ask.groupBy("d", "b", "p")).applyInPandas(search, "d int, qcid long, cid long, score double")
+    best = Window.partitionBy("d", "qcid").orderBy(F.desc("score"), "cid")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    found = found.join(entry.select("cid", "ids"), "cid").select("qcid", "score", F.explode("ids").alias("vec_id"))
-    named = Window.partitionBy("qcid").orderBy(F.desc("score"), "vec_id")
+    found = found.join(entry.select("d", "cid", "ids"), ["d", "cid"]).select("d", "qcid", "score", F.explode("ids").alias("vec_id"))
+    named = Window.partitionBy("d", "qcid").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(named)).where(F.col("r") <= k + 1)
-    lists = found.groupBy("qcid").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
-    mine = asked.join(lists, "qcid")
+    lists = found.groupBy("d", "qcid").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
+    mine = asked.select("query_id", "qcid.d", F.col("qcid.cid").alias("qcid")).join(lists, ["d", "qcid"])
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return mine.select("query_id", F.posexplode(others).alias("pos", "hit")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score"

@@ -18,6 +18,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 import regex
@@ -27,6 +28,20 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SPACE = regex.compile(r"[ \t\n\r]")
+# Code points (hexadecimal, first and last) that are letters or numbers to the regex module, not yet to the
+# tables of the tokenizers library.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 "
+    "16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 "
+    "1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+).split()
+# Capital letters (first and last) that only the library knows, and how far on their small ones stand.
+CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),)
+_SMALL = {c: c + d for a, b, d in CAPITALS for c in range(a, b + 1)}
+_NEWER = "".join("-".join(f"\\U{int(c, 16):08X}" for c in x.split("-")) for x in NEWER)
+HAS_NEWER = regex.compile(f"[{_NEWER}{''.join(map(chr, _SMALL))}]")
 #: Characters of a very long text that are in work at once.
 PIECE = 1 << 20
 #: Words kept in the cache of a worker.
@@ -61,8 +76,9 @@ class _Ids(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, text: str):
+        """text: a tokenizer file's."""
+        spec = json.loads(text)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -76,7 +92,12 @@ class Encoder:
         self.first = [ids.get(c) for c in chars]
         self.last = [ids.get(c + self.suffix) for c in chars]
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        self.words = regex.compile(pattern)
+        # The same words where letters and numbers are only those that the library knows.
+        for kind in ("L", "N"):
+            pattern = pattern.replace(f"[\\p{{{kind}}}]", f"(?:(?![{_NEWER}])\\p{{{kind}}})")
+        self.older = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{_NEWER}]|[^\s\p{{L}}\p{{N}}])"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.ids = _Ids(self._word)
         self.texts = _Ids(self._text)
@@ -84,7 +105,12 @@ class Encoder:
     def normalise(self, text: str) -> str:
         """NFC, then character by character to lower case. White space needs no care, as no word holds any."""
         text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
+        text = text.replace("Σ", "σ").lower()
+        return text if text.isascii() or not HAS_NEWER.search(text) else text.translate(_SMALL)
+
+    def split(self, text: str) -> list[str]:
+        text = self.normalise(text)
+        return (self.words if text.isascii() or not HAS_NEWER.search(text) else self.older).findall(text)
 
     def symbols(self, data: bytes) -> list[int]:
         head = [self.first[b] for b in data[:-1]]
@@ -137,14 +163,13 @@ class Encoder:
     def chunks(self, text: str) -> list[bytes]:
         """Ids of a text, word by word."""
         if "<|" not in text:
-            found = self.words.findall(self.normalise(text))
-            return [*map(self.ids.__getitem__, found)]
+            return [*map(self.ids.__getitem__, self.split(text))]
         out: list[bytes] = []
         for part in self.cut.split(text):
             if part in self.special:
                 out.append(struct.pack("<I", self.special[part]))
             elif part:
-                out += map(self.ids.__getitem__, self.words.findall(self.normalise(part)))
+                out += map(self.ids.__getitem__, self.split(part))
         return out
 
     def pieces(self, text: str) -> Iterator[list[bytes]]:
@@ -169,8 +194,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
+def _parsed(text: str) -> Encoder:
+    return Encoder(text)
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return _parsed(Path(path).read_text(encoding="utf-8"))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -202,9 +231,11 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def _run(docs: DataFrame, path: str, schema: str, make, names, kinds) -> DataFrame:
     small_batches(docs.sparkSession)
+    # The driver reads the file, which executors need not have.
+    shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = _parsed(shared.value)
         for batch in batches:
             rows = [make(enc, text.as_py() or "") for text in batch.column(1)]
             cols = [*zip(*rows, strict=True)] or [[] for _ in names]

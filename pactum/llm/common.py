@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,12 @@ class Scratch:
     A table is released once nothing that is still lazy reads it.
     """
 
+    #: Those that may hold tables, so that a run of several operators can let go of them in between.
+    live: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        Scratch.live.append(self)
         self.root = f"{shared_dir(spark).rstrip('/')}/pactum-{label}-{uuid.uuid4().hex}"
         self.made = 0
         self.held: list[str] = []
@@ -54,7 +59,7 @@ class Scratch:
         before = self.spark.conf.get(FILE_CLEANUP, None)
         self.spark.conf.set(FILE_CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(FILE_CLEANUP)
@@ -73,6 +78,13 @@ class Scratch:
         kept = {t._pactum_path for t in but}
         self._delete([p for p in self.held if p not in kept])
 
+    @classmethod
+    def release_since(cls, mark: int) -> None:
+        """Deletes the tables of all made after the first `mark`, once nothing lazy reads them."""
+        for scratch in cls.live[mark:]:
+            scratch.release_all()
+        del cls.live[mark:]
+
     def _delete(self, paths) -> None:
         jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
         for name in paths:

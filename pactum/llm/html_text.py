@@ -1,7 +1,7 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its word count and link density, those of its two
-neighbours, and where it stands (inside an article, inside furniture such as menus or adverts, a heading). A
+neighbours, and where it stands (inside an article, inside furniture such as menus or adverts, a heading, a paragraph or the like). A
 decision tree (Gini splits) is trained on the small labelled table below when the module is first used and says which
 blocks are main text. Scripts, styles, hidden parts and form controls never become blocks.
 
@@ -35,6 +35,7 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED_TAGS = frozenset("head svg math object applet audio video canvas select button template noscript datalist map".split())
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist form".split())
@@ -48,47 +49,60 @@ FURNITURE_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("article articlebody post entry story content main hentry".split())
 
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "article", "furniture", "heading")
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "article", "furniture", "heading", "prose")
 # Fixed values, the labelled table: the features in the order above, then 1 for main text.
 LABELLED = (
     # paragraphs and headings of articles
-    (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1), (45, 0.1, 9, 0.0, 60, 0.0, 1, 0, 0, 1), (12, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0, 1),
-    (3, 0.0, 50, 0.0, 44, 0.1, 1, 0, 0, 1), (1, 0.0, 20, 0.0, 2, 0.0, 1, 0, 0, 1), (2, 0.0, 1, 0.0, 30, 0.0, 1, 0, 0, 1),
-    (8, 0.0, 3, 1.0, 60, 0.0, 1, 0, 1, 1), (6, 0.0, 2, 1.0, 1, 0.0, 1, 0, 1, 1), (10, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (150, 0.2, 8, 0.0, 12, 0.0, 1, 0, 0, 1), (30, 0.3, 25, 0.0, 4, 1.0, 1, 0, 0, 1), (5, 0.2, 40, 0.0, 3, 1.0, 1, 0, 0, 1),
-    (25, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (9, 0.0, 7, 0.4, 1, 1.0, 1, 0, 0, 1),
+    (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1, 1), (45, 0.1, 9, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (12, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0, 1, 1),
+    (3, 0.0, 50, 0.0, 44, 0.1, 1, 0, 0, 1, 1), (1, 0.0, 20, 0.0, 2, 0.0, 1, 0, 0, 1, 1), (2, 0.0, 1, 0.0, 30, 0.0, 1, 0, 0, 1, 1),
+    (8, 0.0, 3, 1.0, 60, 0.0, 1, 0, 1, 1, 1), (6, 0.0, 2, 1.0, 1, 0.0, 1, 0, 1, 1, 1), (10, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1, 1),
+    (150, 0.2, 8, 0.0, 12, 0.0, 1, 0, 0, 1, 1), (30, 0.3, 25, 0.0, 4, 1.0, 1, 0, 0, 1, 1), (5, 0.2, 40, 0.0, 3, 1.0, 1, 0, 0, 1, 1),
+    (25, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1, 1), (9, 0.0, 7, 0.4, 1, 1.0, 1, 0, 0, 1, 1),
     # links alone inside articles
-    (4, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0, 0), (7, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0, 0), (2, 1.0, 30, 0.0, 3, 0.0, 1, 0, 0, 0),
-    (12, 0.9, 40, 0.0, 10, 0.9, 1, 0, 0, 0), (5, 1.0, 4, 1.0, 0, 0.0, 1, 0, 0, 0),
+    (4, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0, 0, 0), (7, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 30, 0.0, 3, 0.0, 1, 0, 0, 0, 0),
+    (12, 0.9, 40, 0.0, 10, 0.9, 1, 0, 0, 0, 0), (5, 1.0, 4, 1.0, 0, 0.0, 1, 0, 0, 0, 0),
     # furniture inside and outside articles
-    (20, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 0), (60, 0.0, 70, 0.0, 65, 0.0, 1, 1, 0, 0), (3, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0),
-    (5, 0.0, 60, 0.0, 30, 0.0, 1, 1, 1, 0), (120, 0.1, 30, 0.0, 2, 1.0, 1, 1, 0, 0), (9, 1.0, 9, 1.0, 9, 1.0, 1, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0),
-    (40, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 0), (70, 0.0, 60, 0.0, 65, 0.0, 0, 1, 0, 0), (14, 0.1, 60, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (4, 0.0, 2, 1.0, 30, 0.0, 0, 1, 1, 0), (25, 0.6, 4, 0.0, 25, 0.6, 0, 1, 0, 0), (150, 0.0, 100, 0.0, 80, 0.0, 0, 1, 0, 0),
+    (20, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 1, 0), (60, 0.0, 70, 0.0, 65, 0.0, 1, 1, 0, 1, 0), (3, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0, 0),
+    (5, 0.0, 60, 0.0, 30, 0.0, 1, 1, 1, 1, 0), (120, 0.1, 30, 0.0, 2, 1.0, 1, 1, 0, 1, 0), (9, 1.0, 9, 1.0, 9, 1.0, 1, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 0), (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 0),
+    (40, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (70, 0.0, 60, 0.0, 65, 0.0, 0, 1, 0, 1, 0), (14, 0.1, 60, 0.0, 0, 0.0, 0, 1, 0, 1, 0),
+    (4, 0.0, 2, 1.0, 30, 0.0, 0, 1, 1, 1, 0), (25, 0.6, 4, 0.0, 25, 0.6, 0, 1, 0, 1, 0), (150, 0.0, 100, 0.0, 80, 0.0, 0, 1, 0, 1, 0),
     # pages without an article element
-    (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1), (40, 0.1, 7, 0.0, 45, 0.0, 0, 0, 0, 1), (25, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1),
-    (18, 0.0, 30, 0.0, 35, 0.1, 0, 0, 0, 1), (120, 0.2, 3, 1.0, 1, 0.0, 0, 0, 0, 1), (6, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (5, 0.0, 45, 0.0, 30, 0.0, 0, 0, 1, 1),
-    (3, 0.0, 35, 0.0, 50, 0.0, 0, 0, 1, 1), (20, 0.0, 6, 0.0, 22, 0.0, 0, 0, 0, 1), (16, 0.3, 25, 0.1, 18, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 40, 0.0, 1, 1.0, 0, 0, 0, 0), (15, 0.9, 12, 1.0, 14, 0.9, 0, 0, 0, 0),
-    (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 0.5, 3, 1.0, 4, 0.5, 0, 0, 0, 0), (30, 0.8, 3, 0.0, 28, 0.8, 0, 0, 0, 0),
-    (2, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0), (8, 0.6, 50, 0.0, 6, 1.0, 0, 0, 0, 0), (5, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0),
+    (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1, 1), (40, 0.1, 7, 0.0, 45, 0.0, 0, 0, 0, 1, 1), (25, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1, 1),
+    (18, 0.0, 30, 0.0, 35, 0.1, 0, 0, 0, 1, 1), (120, 0.2, 3, 1.0, 1, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 1, 1),
+    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1, 1), (5, 0.0, 45, 0.0, 30, 0.0, 0, 0, 1, 1, 1),
+    (3, 0.0, 35, 0.0, 50, 0.0, 0, 0, 1, 1, 1), (20, 0.0, 6, 0.0, 22, 0.0, 0, 0, 0, 1, 1), (16, 0.3, 25, 0.1, 18, 0.0, 0, 0, 0, 1, 1),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 40, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (15, 0.9, 12, 1.0, 14, 0.9, 0, 0, 0, 0, 0),
+    (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (4, 0.5, 3, 1.0, 4, 0.5, 0, 0, 0, 0, 0), (30, 0.8, 3, 0.0, 28, 0.8, 0, 0, 0, 0, 0),
+    (2, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 1, 0), (8, 0.6, 50, 0.0, 6, 1.0, 0, 0, 0, 0, 0), (5, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 0),
+    # short headings right after menus
+    (2, 0.0, 1, 1.0, 40, 0.0, 1, 0, 1, 1, 1), (3, 0.0, 6, 1.0, 60, 0.0, 1, 0, 1, 1, 1), (1, 0.0, 1, 1.0, 30, 0.0, 1, 0, 1, 1, 1),
+    (4, 0.0, 2, 1.0, 25, 0.0, 0, 0, 1, 1, 1), (2, 0.0, 3, 1.0, 18, 0.2, 0, 0, 1, 1, 1), (3, 0.0, 1, 1.0, 9, 0.6, 1, 0, 1, 1, 1),
+    # paragraphs rich in links
+    (7, 0.85, 40, 0.0, 50, 0.0, 1, 0, 0, 1, 1), (12, 0.7, 30, 0.0, 20, 0.0, 1, 0, 0, 1, 1), (20, 0.6, 45, 0.1, 30, 0.0, 1, 0, 0, 1, 1),
+    (9, 0.5, 3, 0.0, 30, 0.2, 1, 0, 0, 1, 1), (25, 0.8, 60, 0.3, 40, 0.5, 1, 0, 0, 1, 1), (15, 0.6, 35, 0.0, 50, 0.1, 0, 0, 0, 1, 1),
+    (6, 0.65, 12, 0.0, 3, 1.0, 1, 0, 0, 1, 1), (8, 0.9, 2, 0.0, 1, 1.0, 1, 0, 0, 1, 1),
+    # paragraphs that are a link
+    (2, 1.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (3, 1.0, 50, 0.0, 4, 1.0, 1, 0, 0, 1, 0), (5, 1.0, 30, 0.0, 40, 0.0, 0, 0, 0, 1, 0),
+    # text of lists, tables and plain divisions
+    (18, 0.0, 20, 0.0, 25, 0.0, 1, 0, 0, 0, 1), (6, 0.0, 5, 0.0, 7, 0.0, 1, 0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (4, 0.0, 4, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (8, 0.0, 9, 0.1, 2, 1.0, 0, 0, 0, 0, 1), (45, 0.1, 50, 0.0, 3, 1.0, 0, 0, 0, 1, 1),
+    (3, 0.0, 5, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (14, 0.2, 30, 0.0, 2, 1.0, 0, 0, 0, 1, 1), (12, 0.3, 14, 0.2, 9, 0.4, 1, 0, 0, 0, 1), (60, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 1, 0, 0, 0, 1),
 )
 
 
 # ---------------------------------------------------------------- blocks
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, words in links, in an article, in furniture, heading) of each block in page order."""
-    out: list[tuple[str, int, int, int, int, int]] = []
+def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
+    """(text, words, words in links, in an article, in furniture, heading, prose) of each block in page order."""
+    out: list[tuple[str, int, int, int, int, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, int, int]] = []  # tag, article, furniture, dropped
     link = 0
     article = furniture = dropped = 0
-    heading = 0
+    heading = prose = 0
     at, size, lower = 0, len(page), None
 
     def close() -> None:
@@ -96,7 +110,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
             words = entities.unescape("".join(text)).split()
             if words:
                 inside = len(entities.unescape(" ".join(linked)).split())
-                out.append((" ".join(words), len(words), min(inside, len(words)), int(article > 0), int(furniture > 0), heading))
+                out.append((" ".join(words), len(words), min(inside, len(words)), int(article > 0), int(furniture > 0), heading, prose))
             text.clear()
             linked.clear()
 
@@ -133,7 +147,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
             if name in BLOCK_TAGS or name in DROPPED_TAGS:
                 if name in BLOCK_TAGS:
                     close()
-                    heading = 0
+                    heading = prose = 0
                 if any(s[0] == name for s in stack):
                     while stack:
                         tag, article, furniture, dropped = stack.pop()
@@ -162,7 +176,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
             continue
         if name in BLOCK_TAGS:
             close()
-            heading = 1 if len(name) == 2 and name[0] == "h" and name[1].isdigit() else 0
+            heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit())
+            prose = int(name in PROSE_TAGS)
             if name == "p" and stack and stack[-1][0] == "p":
                 _, article, furniture, dropped = stack.pop()
             if name in ("hr", "html", "body"):
@@ -171,6 +186,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, int, int]]:
         known = names_of(attributes) if attributes else {}
         if name in ("article", "main") or known.get("role") in ("main", "article") or known.get("article"):
             article += 1
+            # What a wrapper is called says nothing of the article in it, as in a page named by its sidebar.
+            furniture = 0
         if name in FURNITURE_TAGS or known.get("furniture") or known.get("role") in FURNITURE_ROLES or (name == "header" and not article):
             furniture += 1
         if name in DROPPED_TAGS or known.get("hidden"):
@@ -207,7 +224,7 @@ def names_of(attributes: str) -> dict:
 def features(blocks: list[tuple]) -> np.ndarray:
     n = np.array([b[1] for b in blocks], dtype=np.float64)
     density = np.array([b[2] for b in blocks], dtype=np.float64) / np.maximum(1, n)
-    rest = np.array([b[3:6] for b in blocks], dtype=np.float64).reshape(-1, 3)
+    rest = np.array([b[3:7] for b in blocks], dtype=np.float64).reshape(-1, 4)
     zero = np.zeros(1)
     near = [np.concatenate((zero, n[:-1])), np.concatenate((zero, density[:-1])), np.concatenate((n[1:], zero)), np.concatenate((density[1:], zero))]
     return np.column_stack([n, density, *near, rest])

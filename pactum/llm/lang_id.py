@@ -5,8 +5,9 @@ frozen. A byte's code length is taken at the longest context that the language h
 down to shorter ones and to the uniform distribution at the end. The trees are compiled into one table of exact code
 lengths per (context, byte, language), so that a text costs two gathers a byte and a sum.
 
-Parameters that bound the fit: SAMPLE_BYTES over all languages together, 64 KiB of any one text, CONTEXTS contexts (the
-most frequent ones), 127 byte values (the rest share an escape symbol).
+The sample is of pieces of PIECE_BYTES from anywhere in the texts, drawn by hash. Parameters that bound the fit: SAMPLE_BYTES
+over all languages together, CONTEXTS contexts (should a sample hold more that were met twice, the most frequent ones stay),
+127 byte values (the rest share an escape symbol).
 
 Defined results: null texts and texts without a letter are `und` with score 0; where nothing can be learned every
 text is; ties go to the language that sorts first; repeated rows get equal results; columns besides doc_id, text and
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 DEPTH = 3
-SAMPLE_BYTES = 4 << 20
-TEXT_BYTES = 64 << 10
-CONTEXTS = 8_192
+SAMPLE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 10
+CONTEXTS = 65_536
 SYMBOLS = 128
 OTHER = SYMBOLS - 1
 PAD = b"\n" * DEPTH
@@ -159,25 +160,28 @@ class PPM:
 
 
 def fit(docs: DataFrame) -> PPM:
-    """Trees of the languages of the labelled texts that are not held out, from a bounded sample by hash of doc_id."""
+    """Trees of the languages of the labelled texts that are not held out, from a bounded sample by hash of doc_id and place."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: (r["n"], r["m"]) for r in rows.groupBy("lang").agg(F.sum(F.least(F.octet_length("text"), F.lit(TEXT_BYTES)).cast("long")).alias("n"), F.count(F.lit(1)).alias("m")).collect()}
+    raw = F.encode("text", "UTF-8")
+    pieces = F.floor(F.octet_length("text") / PIECE_BYTES) + 1
+    sizes = {r["lang"]: (r["n"], r["m"]) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n"), F.sum(pieces).alias("m")).collect()}
     if not sizes:
         return PPM({})
     each = SAMPLE_BYTES // len(sizes)
     share = F.lit(0.0)
     for lang, (n, m) in sizes.items():
-        # Half as much again for few texts, as the draw is by text; the sum below cuts exactly.
+        # More for few pieces, as their number varies; the sum below holds the bound.
         part = min(1.0, each / max(1, n) * (1 + 4 / m**0.5))
         share = F.when(F.col("lang") == lang, F.lit(part)).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    picked = rows.where(draw < share).select("lang", F.xxhash64("doc_id", "text").alias("o"), F.substring(F.encode("text", "UTF-8"), 1, TEXT_BYTES).alias("t")).collect()
+    drawn = F.filter(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda i: F.pmod(F.xxhash64("doc_id", i), F.lit(1_000_003)) / 1_000_003.0 < share)
+    cut = F.transform(drawn, lambda i: F.struct(F.xxhash64("doc_id", i).alias("o"), F.substring(raw, (i * PIECE_BYTES + 1).cast("int"), F.lit(PIECE_BYTES)).alias("t")))
+    picked = rows.select("lang", F.explode(cut).alias("p")).select("lang", "p.o", "p.t").collect()
     samples: dict[str, list[bytes]] = {x: [] for x in sizes}
     room = dict.fromkeys(sizes, each)
-    for r in sorted(picked, key=lambda r: (r["lang"], r["o"])):
-        t = bytes(r["t"])[: room[r["lang"]]]
-        room[r["lang"]] -= len(t)
-        if t:
+    for r in sorted(picked, key=lambda r: (r["lang"], r["o"], r["t"])):
+        t = bytes(r["t"])
+        if t and len(t) <= room[r["lang"]]:
+            room[r["lang"]] -= len(t)
             samples[r["lang"]].append(t)
     return PPM(samples)
 

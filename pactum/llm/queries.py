@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, bpe, html_text, jpeg, lang_id, line_dedup, near_dup, packing, pitman_yor, warc
 from .common import table
 
 #: The public tokenizer file of op5.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

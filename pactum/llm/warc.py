@@ -10,7 +10,8 @@ over one row per block. So a URL that holds a third of all captures is spread ov
 
 Defined results: a revisit without an earlier full response is `orphan`; with disagreeing or missing validators
 `mismatch`; else `resolved`. Null URLs canonicalise to null and match nothing; records with a null time are orphans or ignored;
-repeated records resolve alike; an empty table gives an empty result; a malformed record raises ValueError.
+repeated records resolve alike; an empty table gives an empty result; bytes that are no record
+come out as one of kind `malformed` and end nothing; a date that can't be read is null.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ def canonical_url(url: Column) -> Column:
 # ---------------------------------------------------------------- records as bytes
 
 
+MALFORMED = "malformed"
+
+
 def write_record(kind: str, record_id: int, url: str, date: str, status: str, headers: list[tuple[str, str]], payload: bytes) -> bytes:
     http = "".join([f"HTTP/1.1 {status}\r\n", *[f"{k}: {v}\r\n" for k, v in headers], "\r\n"]).encode("utf-8") + payload
     named = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:record:{record_id}>"), ("WARC-Target-URI", url), ("WARC-Date", date)]
@@ -77,27 +81,41 @@ def _head(data: bytes, at: int, end: int) -> tuple[str, dict[str, str], int]:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file: kind, record_id, url, date, status, headers (lower-case names), payload."""
+    """The records of a WARC file: kind, record_id, url, date, status, headers (lower-case names), payload.
+
+    What is no record is one of kind `malformed`, which holds the bytes up to the next record's first line.
+    """
     at = 0
     while at < len(data):
-        first, named, body = _head(data, at, len(data))
-        if not first.startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        size = int(named["content-length"])
-        end = body + size
-        if end > len(data):
-            raise ValueError("a record is cut short")
-        status, headers, start = "", {}, end
-        if named.get("content-type", "").startswith("application/http"):
-            line, headers, start = _head(data, body, end)
-            status = line.split(" ", 2)[1] if " " in line else ""
-        yield {
-            "kind": named.get("warc-type"), "record_id": named.get("warc-record-id", "").strip("<>"), "url": named.get("warc-target-uri"),
-            "date": named.get("warc-date"), "status": status, "headers": headers, "payload": data[start:end],
-        }
-        at = end
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        try:
+            record, at = _record(data, at)
+        except (ValueError, KeyError):
+            after = data.find(b"\r\nWARC/", at)
+            end = len(data) if after < 0 else after + 2
+            record = {"kind": MALFORMED, "record_id": None, "url": None, "date": None, "status": "", "headers": {}, "payload": data[at:end]}
+            at = end
+        yield record
+
+
+def _record(data: bytes, at: int) -> tuple[dict, int]:
+    """The record that begins at `at`, and where the next one does."""
+    first, named, body = _head(data, at, len(data))
+    if not first.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    end = body + int(named["content-length"])
+    if not body <= end <= len(data):
+        raise ValueError("a record is cut short")
+    status, headers, start = "", {}, end
+    if named.get("content-type", "").startswith("application/http"):
+        line, headers, start = _head(data, body, end)
+        status = line.split(" ", 2)[1] if " " in line else ""
+    record = {
+        "kind": named.get("warc-type"), "record_id": named.get("warc-record-id", "").strip("<>"), "url": named.get("warc-target-uri"),
+        "date": named.get("warc-date"), "status": status, "headers": headers, "payload": data[start:end],
+    }
+    while data[end : end + 2] == b"\r\n":
+        end += 2
+    return record, end
 
 
 def read_archive(files: DataFrame, keep_payload: bool = False) -> DataFrame:
@@ -113,7 +131,7 @@ def read_archive(files: DataFrame, keep_payload: bool = False) -> DataFrame:
                 rows = [r | {"headers": list(r["headers"].items()), "n_bytes": len(r["payload"])} for r in parse_records(content.as_py() or b"")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return files.select("content").mapInArrow(work, schema).withColumn("ts", F.to_timestamp("date")).drop("date")
+    return files.select("content").mapInArrow(work, schema).withColumn("ts", F.try_to_timestamp("date")).drop("date")
 
 
 # ---------------------------------------------------------------- resolution
@@ -157,8 +175,8 @@ def resolve(records: DataFrame) -> DataFrame:
     last = events.groupBy("canonical", "block").agg(F.max("full").alias("last"))
     before = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("canonical", "block", F.max("last").over(before).alias("carried"))
-    found = near.join(carried, ["canonical", "block"]).select(F.col("asker").alias("record_id"), "t", F.coalesce("near", "carried").getField("id").alias("stored_id")).distinct()
-    mine = visits.join(found, ["record_id", "t"], "left")
+    found = near.join(carried, ["canonical", "block"]).select(F.col("asker").alias("record_id"), "t", "canonical", F.coalesce("near", "carried").getField("id").alias("stored_id")).distinct()
+    mine = visits.join(found, ["record_id", "t", "canonical"], "left")
     stored = full.select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored")).dropDuplicates(["stored_id"])
     both = mine.join(stored, "stored_id", "left")
     agree = validators_agree(F.col("stored"), F.col("headers"))

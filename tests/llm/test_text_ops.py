@@ -125,6 +125,18 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(df, TOKENIZER).where("doc_id = 0").first().decoded == lib.decode(lib.encode(texts[0]).ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_split_as_in_the_library():
+    """One in seven of all code points, and all that the library's tables lack, between two letters."""
+    from tokenizers import Tokenizer
+
+    lib, enc = Tokenizer.from_file(TOKENIZER), bpe.encoder(TOKENIZER)
+    ranges = [[int(c, 16) for c in x.split("-")] for x in bpe.NEWER]
+    points = sorted({c for r in ranges for c in range(r[0], r[-1] + 1, 5)} | {c for c in range(3, 0x110000, 7) if not 0xD800 <= c <= 0xDFFF and c < 0xE000 or c % 97 == 0 and c > 0xE000})
+    texts = [f"a{chr(c)}b 1{chr(c)}2" for c in points if not 0xD800 <= c <= 0xDFFF]
+    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert enc.encode(t) == e.ids, ascii(t)
+
+
 def test_long_texts_are_encoded_in_pieces(monkeypatch):
     enc = bpe.encoder(TOKENIZER)
     text = "it's a LONG text\n" * 50 + "<|endoftext|>end " + "y" * 400
@@ -180,6 +192,52 @@ def test_pages_without_an_article_element():
     assert html_text.main_text(page) == "\n".join([words.strip()] * 2)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav><a>Home</a></nav><article><h1>Two words</h1><p>And then a text of some length that says what it is about.</p></article>", "Two words\nAnd then a text of some length that says what it is about."),
+        ("<article><p>A text of some length that says what it is about, as before.</p><p>See <a>the full report of the committee</a></p><p>And one more of these, which ends the text.</p></article>", "A text of some length that says what it is about, as before.\nSee the full report of the committee\nAnd one more of these, which ends the text."),
+        ("<div class='layout with-sidebar'><nav><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav><main><h2>News</h2><p>Some words stand here, enough to be a paragraph of the page.</p></main><aside><p>Some words stand here too, and they are beside the article.</p></aside></div>", "News\nSome words stand here, enough to be a paragraph of the page."),
+        ("<div><h1>Plain page</h1><p>There is no class and no article on this page, only a paragraph.</p><ul><li>first of two things</li><li>second of two things</li></ul><p><a>Read more</a></p></div>", "Plain page\nThere is no class and no article on this page, only a paragraph.\nfirst of two things\nsecond of two things"),
+        ("<article><h1>A</h1><p>One two three.</p><ul><li><a>Related piece</a></li><li><a>Other piece</a></li></ul></article>", "A\nOne two three."),
+    ],
+)
+def test_headings_links_and_wrappers(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_pages_of_the_table():
+    """Against what the table's own pages are made of: an article element, cut at its blocks by another parser."""
+    import html.parser
+
+    import pyarrow.parquet as pq
+
+    class Article(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.blocks += [[]] if tag in ("p", "h1", "article") else []
+            self.blocks[-1] += [" "] if tag == "br" else []
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.blocks += [[]] if tag in ("p", "h1", "article") else []
+
+        def handle_data(self, data):
+            self.blocks[-1] += [data] if self.depth else []
+
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    for r in table:
+        parser = Article()
+        parser.feed(r["html"])
+        parser.close()
+        blocks = [" ".join("".join(b).split()) for b in parser.blocks]
+        assert html_text.main_text(r["html"]) == "\n".join(b for b in blocks if b), r["page_id"]
+
+
 def test_the_tree_fits_its_table():
     table = np.array(html_text.LABELLED, dtype=float)
     assert (html_text.tree().predict(table[:, :-1]) == (table[:, -1] == 1)).mean() >= 0.98
@@ -235,9 +293,20 @@ def test_batches(spark, monkeypatch):
         assert sorted(m.slot for m in members) == list(range(len(members)))
         last = max(b for k, b in batches if k == key[0])
         assert len(members) == fit or key[1] == last
+        assert top == max(r.n_tokens for r in got if r.bucket == key[0])
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_many_equal_rows_are_packed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 8)
+    df = spark.createDataFrame([(None, "a b")] * 100 + [(5, "c d e")] * 50 + [(i, "f") for i in range(10, 60)], "doc_id long, text string")
+    got = packing.pack(df, budget=12, buckets=2).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter({(None, 3): 100, (5, 4): 50} | {(i, 2): 1 for i in range(10, 60)})
+    for b in {r.bucket for r in got}:
+        fit = 12 // next(r.bucket_len for r in got if r.bucket == b)
+        assert sorted(r.batch * fit + r.slot for r in got if r.bucket == b) == list(range(sum(r.bucket == b for r in got)))
+
+
 # ---------------------------------------------------------------- language model
 
 
@@ -269,6 +338,19 @@ def test_joined_pairs_score_like_hot_ones(spark, monkeypatch):
         assert r.score == pytest.approx(whole[r.doc_id], rel=1e-9)
 
 
+def test_scores_do_not_depend_on_the_cluster(spark):
+    """Neither on how rows are dealt out nor on the number of shuffle partitions."""
+    df = spark.createDataFrame([(i, t) for i, t, _ in sample(120)], "doc_id long, text string")
+    one = {r.doc_id: r.score for r in pitman_yor.score(df.repartition(2)).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        two = {r.doc_id: r.score for r in pitman_yor.score(df.repartition(7)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert one == pytest.approx(two, rel=1e-9)
+
+
 def test_seating_follows_the_restaurant(spark):
     """Averages of sampled tables against the exact posterior of small dishes."""
     d, opening, more = 0.5, 0.8, 0.1
