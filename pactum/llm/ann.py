@@ -33,7 +33,7 @@ from .common import Scratch
 
 PIVOTS = 128
 HEAD = 64
-RERANK = 4.5
+RERANK = 3.2
 BLOCK = 8192
 QUERIES = 8192
 #: Pivots of so many lengths are sampled, the most common ones; those of further lengths are drawn at random.
@@ -159,12 +159,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         block = Block(np.stack(index["v"].to_numpy()), own)
         ids = index["cid"].to_numpy()
         q = np.stack(asks["qv"].to_numpy())
-        out = []
-        for qcid, x, head in zip(asks["qcid"], q, heads(unit(q), own), strict=True):
+        cids, scores, counts = [], [], []
+        for x, head in zip(q, heads(unit(q), own), strict=True):
             part, score = block.search(x, head, k + 1)
             order = np.lexsort((ids[part], -score))[: k + 1]
-            out.append(pd.DataFrame({"d": np.int32(d), "qcid": qcid, "cid": ids[part[order]], "score": score[order]}))
-        return pd.concat(out)
+            cids.append(ids[part[order]])
+            scores.append(score[order])
+            counts.append(len(order))
+        return pd.DataFrame({"d": np.int32(d), "qcid": np.repeat(asks["qcid"].to_numpy(), counts), "cid": np.concatenate(cids), "score": np.concatenate(scores)})
 
     found = left.groupBy("d", "b", "p").cogroup(ask.groupBy("d", "b", "p")).applyInPandas(search, "d int, qcid long, cid long, score double")
     best = Window.partitionBy("d", "qcid").orderBy(F.desc("score"), "cid")

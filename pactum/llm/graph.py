@@ -45,11 +45,17 @@ def join_components(components: DataFrame | None, links: DataFrame, scratch: Scr
     if links.isEmpty():
         scratch.release(links)
         return components
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if components is not None:
-        edges = edges.unionByName(components.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    joined = scratch.write(connected_components(edges, scratch))
-    scratch.release(links, *([] if components is None else [components]))
+    if components is None:
+        joined = scratch.write(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
+        scratch.release(links)
+        return joined
+    # Only what the further links join is worked on: edges between components, and nodes in none.
+    edges = rooted_by(rooted_by(links, components, "a").withColumnRenamed("root", "u"), components, "b").withColumnRenamed("root", "v")
+    moved = scratch.write(connected_components(edges.select("u", "v"), scratch))
+    found = components.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    alone = moved.join(components.select("node"), "node", "left_anti")
+    joined = scratch.write(found.select("node", F.coalesce("to", "root").alias("root")).unionByName(alone))
+    scratch.release(links, components, moved)
     return joined
 
 

@@ -116,6 +116,23 @@ def test_pairs_of_groups(spark):
     assert {r.key for r in small.collect()} == {k for k in sizes if sizes[k] <= 15} and {r.key for r in large.collect()} == {k for k in sizes if sizes[k] > 15}
 
 
+def test_components_are_joined_by_further_links(spark):
+    from pactum.llm.graph import join_components
+
+    scratch, rng = Scratch(spark, "test"), random.Random(3)
+    every, components = [], None
+    for _ in range(3):
+        links = [tuple(sorted(rng.sample(range(120), 2))) for _ in range(25)]
+        every += links
+        components = join_components(components, scratch.write(spark.createDataFrame(links, "a long, b long")), scratch)
+    assert join_components(components, scratch.write(components.selectExpr("node a", "root b").limit(0)), scratch) is components
+    root = {n: n for link in every for n in link}
+    for _ in root:
+        for a, b in every:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in components.collect()} == root
+
+
 def test_registers_and_estimate():
     rng = np.random.RandomState(0)
     pool = rng.randint(0, 2**63, 40000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
