@@ -119,29 +119,40 @@ def format_date(a: Args) -> Typed:
     return out(a, F.concat(*pieces) if pieces else F.lit(""), STRING)
 
 
-def unit_name(a: Args) -> str:
-    return a.constant("unit").removesuffix("s")
+def by_unit(a: Args, build) -> Column:
+    """build(unit) for the unit of the call, which a row may name; unknown units count as seconds."""
+    given = a.get("unit")
+    if given.known:
+        return build(given.literal.removesuffix("s"))
+    name = F.regexp_replace(a.string("unit"), "s$", "")
+    found = build("second")
+    for unit in ("minute", "hour", "day", "month", "year"):
+        found = F.when(name == unit, build(unit)).otherwise(found)
+    return F.when(name.isNotNull(), found)
 
 
 @function(FUNCTIONS, "date-diff")
 def date_diff(a: Args) -> Typed:
     start, end = a.string("from", "a"), a.string("to", "b")
     seconds = F.unix_timestamp(checked(end, iso(end), "date-diff")) - F.unix_timestamp(checked(start, iso(start), "date-diff"))
-    size = SECONDS.get(unit_name(a), 1)
+    size = by_unit(a, lambda unit: F.lit(SECONDS.get(unit, 1)))
     return out(a, F.when(seconds >= 0, F.floor(seconds / size)).otherwise(F.ceil(seconds / size)).cast("bigint"), INTEGER)
 
 
 @function(FUNCTIONS, "date-add")
 def date_add(a: Args) -> Typed:
-    value, amount, unit = a.string("date"), a.integer("amount"), unit_name(a)
+    value, amount = a.string("date"), a.integer("amount")
     at = checked(value, iso(value), "date-add")
-    if unit in ("month", "year"):
+
+    def moved_by(unit: str) -> Column:
+        if unit not in ("month", "year"):
+            return F.timestamp_seconds(F.unix_timestamp(at) + amount * SECONDS.get(unit, 1))
         # Days past the end of the month run over into the next one.
         months = amount * (12 if unit == "year" else 1)
         first = F.date_trunc("month", at) + F.make_interval(F.lit(0), months.cast("int"))
-        moved = F.timestamp_seconds(F.unix_timestamp(first) + (F.dayofmonth(at) - 1) * 86400 + F.pmod(F.unix_timestamp(at), F.lit(86400)))
-    else:
-        moved = F.timestamp_seconds(F.unix_timestamp(at) + amount * SECONDS.get(unit, 1))
+        return F.timestamp_seconds(F.unix_timestamp(first) + (F.dayofmonth(at) - 1) * 86400 + F.pmod(F.unix_timestamp(at), F.lit(86400)))
+
+    moved = by_unit(a, moved_by)
     short = F.regexp_like(value, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}$")) & (F.pmod(F.unix_timestamp(moved), F.lit(86400)) == 0)
     full = F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return out(a, F.when(short, F.date_format(moved, "yyyy-MM-dd")).otherwise(full), STRING)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import TypeFault
@@ -128,12 +129,23 @@ _pad("pad-left", F.lpad)
 _pad("pad-right", F.rpad)
 
 
+def pattern_column(a: Args) -> Column:
+    """The Java pattern of the argument; of a value known per row only, the bracket classes are put into Java's words."""
+    given = a.get("pattern")
+    if given.known:
+        return F.lit(java_pattern(given.literal))
+    col = a.string("pattern")
+    for posix, java in CLASSES.items():
+        col = F.replace(col, F.lit(f"[:{posix}:]"), F.lit(rf"\p{{{java}}}"))
+    return F.replace(col, F.lit("&&"), F.lit(r"&\&"))
+
+
 @function(FUNCTIONS, "regex-match")
 def regex_match(a: Args) -> Typed:
-    return out(a, F.regexp_like(a.string("value"), F.lit(java_pattern(a.constant("pattern")))), BOOLEAN)
+    return out(a, F.regexp_like(a.string("value"), pattern_column(a)), BOOLEAN)
 
 
 @function(FUNCTIONS, "regex-replace")
 def regex_replace(a: Args) -> Typed:
     literal = F.regexp_replace(a.string("replacement"), r"([\\$])", r"\\$1")
-    return out(a, F.regexp_replace(a.string("value"), F.lit(java_pattern(a.constant("pattern"))), literal), STRING)
+    return out(a, F.regexp_replace(a.string("value"), pattern_column(a), literal), STRING)

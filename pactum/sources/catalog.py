@@ -20,7 +20,8 @@ class Catalog:
         self.frames: dict[str, tuple[DataFrame, str | None]] = {}
 
     def register(self, name: str, df: DataFrame, order: str | None = None) -> Catalog:
-        """order: the column that says which of several rows with one key comes first."""
+        """order: the column that says which of several rows with one key comes first; without one, rows have no order and
+        the record that is smallest as JSON text does."""
         self.frames[name] = (df, order)
         return self
 
@@ -29,7 +30,7 @@ class Catalog:
         for name in (contract.name, contract.source):
             if name in self.frames:
                 df, order = self.frames[name]
-                return self._bound(df, contract, F.col(f"`{order}`") if order else F.monotonically_increasing_id())
+                return self._bound(df, contract, F.col(f"`{order}`") if order else None)
         return self._read(contract)
 
     def _read(self, contract: Node) -> DataFrame:
@@ -47,13 +48,15 @@ class Catalog:
                 whole = reader.schema(T.StructType([T.StructField(collection, T.ArrayType(wanted))])).json(path)
                 df = whole.select(F.posexplode(f"`{collection}`").alias(ORDER, "r")).select(ORDER, "r.*")
                 return self._bound(df, contract, F.col(ORDER))
+            # The records of a file have its order, files that of their names.
             df = reader.schema(wanted).json(path)
+            return self._bound(df, contract, F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place")))
         elif kind == "table":
             df = self.spark.table(path)
         else:
             reader = self.spark.read.format(kind).options(**{k: str(v) for k, v in config.items()})
             df = reader.load(path) if path else reader.load()
-        return self._bound(df, contract, F.monotonically_increasing_id())
+        return self._bound(df, contract, None)
 
     @staticmethod
     def _schema(contract: Node):
@@ -73,4 +76,6 @@ class Catalog:
                 cols.append(F.lit(None).cast(spark_type(declared(f.type))).alias(f.name))
             else:
                 cols.append(F.col(f"`{have[f.name]}`").cast(spark_type(declared(f.type))).alias(f.name))
+        if order is None:
+            order = F.to_json(F.struct(*cols))
         return df.select(*cols, order.alias(ORDER))
