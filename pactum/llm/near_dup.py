@@ -214,9 +214,10 @@ def _link_classes(docs: DataFrame, sketch: DataFrame, classes: DataFrame, percen
 
 def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """(key, id, size, pos): for each set, as many of its rarest shingles as must hold one of any set similar enough."""
-    own = sets.join(ids, "id", "left_semi").select("id", F.size("items").alias("size"), F.explode("items").alias("key"))
+    # Rows that share a doc_id may hold several sets under it.
+    own = sets.join(ids, "id", "left_semi").select("id", F.xxhash64("items").alias("set"), F.size("items").alias("size"), F.explode("items").alias("key"))
     often = own.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    ranked = own.join(often, "key").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
+    ranked = own.join(often, "key").groupBy("id", "set", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
     first = ranked.select("id", "size", F.posexplode(F.slice("r", 1, F.expr(f"cast(size - (size * {percent}L + 99) div 100 + 1 as int)"))).alias("pos", "x"))
     return first.where("x.df > 1").select("x.key", "id", "size", "pos")
 
