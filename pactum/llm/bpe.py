@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -41,6 +42,7 @@ NEWER = (
 CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),)
 _SMALL = {c: c + d for a, b, d in CAPITALS for c in range(a, b + 1)}
 _NEWER = "".join("-".join(f"\\U{int(c, 16):08X}" for c in x.split("-")) for x in NEWER)
+FAR = re.compile("[\u0558-\U0010ffff]")
 HAS_NEWER = regex.compile(f"[{_NEWER}{''.join(map(chr, _SMALL))}]")
 #: Characters of a very long text that are in work at once.
 PIECE = 1 << 20
@@ -48,6 +50,17 @@ PIECE = 1 << 20
 CACHE = 1 << 18
 
 
+def holds_newer(text: str) -> bool:
+    """Whether a text has a character of NEWER or CAPITALS; those are far above the letters of most texts."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(FAR.search(text) and HAS_NEWER.search(text))
+    return False
+
+
 def byte_characters() -> list[str]:
     """The printable stand-in of each byte: itself where printable, else the next code point from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -104,13 +117,12 @@ class Encoder:
 
     def normalise(self, text: str) -> str:
         """NFC, then character by character to lower case. White space needs no care, as no word holds any."""
-        text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()
-        return text if text.isascii() or not HAS_NEWER.search(text) else text.translate(_SMALL)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.translate(_SMALL) if holds_newer(text) else text
 
     def split(self, text: str) -> list[str]:
-        text = self.normalise(text)
-        return (self.words if text.isascii() or not HAS_NEWER.search(text) else self.older).findall(text)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self.older.findall(text.translate(_SMALL)) if holds_newer(text) else self.words.findall(text)
 
     def symbols(self, data: bytes) -> list[int]:
         head = [self.first[b] for b in data[:-1]]
