@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .program import Program
@@ -412,9 +412,15 @@ def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program(UNION).aggregate(one, others={"two": two}, snake=True, fallback=False)
 
 
+def scientific(col: Column) -> Column:
+    """Text of a float as C prints it with %.6e; Java has words of its own for what isn't finite."""
+    odd = F.when(F.isnan(col), "nan").when(col == float("inf"), "inf").when(col == float("-inf"), "-inf")
+    return F.coalesce(odd, F.when(col.isNotNull(), F.format_string("%.6e", col)))
+
+
 def fold_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = program(PRODUCT).aggregate(read(spark, sf_dir, "supplier").select((F.col("s_nationkey") / 10.0 + 1.0).alias("sizes")), snake=True, fallback=False)
-    return out.select(F.format_string("%.6e", "product").alias("product"), "n")
+    return out.select(scientific(F.col("product")).alias("product"), "n")
 
 
 HMAC = contract("hmac", "c-name as string, c-mktsegment as string", "fixed as string, keyed as string", 'fixed: hmac-sha256({ value: $c-name, key: "secret" }), keyed: hmac-sha256({ value: $c-name, key: $c-mktsegment })')
