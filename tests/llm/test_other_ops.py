@@ -292,6 +292,22 @@ def test_lines_against_brute_force(spark):
     assert all(got[d] <= gone[d] for d in got if d not in long)
 
 
+def test_large_groups_of_lines_are_tested_whole(spark, monkeypatch):
+    """All lines in one group: every pair that is similar enough is linked, whatever else two lines have in common."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    lines = []
+    for _ in range(25):
+        words = [word() for _ in range(24)]
+        lines += [" ".join(words), " ".join(w[:3] + "é" + w[4:] if i % 2 else w for i, w in enumerate(words))]
+    root = {x: min(x, y) for x, y in zip(lines[::2], lines[1::2])} | {y: min(x, y) for x, y in zip(lines[::2], lines[1::2])}
+    monkeypatch.setattr(line_dedup, "block_keys", lambda df, all_hashes=False: df.select(F.lit(1).cast("long").alias("key"), F.col("h").alias("id"), F.length("norm").alias("size")))
+    occ = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "h long, norm string")
+    found = {r.node: r.root for r in line_dedup.link_lines(occ, Scratch(spark, "test")).collect()}
+    assert all(found.get(2 * i, -1) == found.get(2 * i + 1, -2) for i in range(25))
+    assert len(set(found.values())) == len(set(root.values())) == 25
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, "one line here\nanother line"), (1, "one line here\nanother line"), (1, "third line of text\none line here"), (2, "another line")] + [(None, "one line here")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string")
