@@ -1,15 +1,16 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Words are generated in context restaurants that share one parent: a context is the last two bytes of the word before
-(or the beginning of the text), the parent is the corpus-wide unigram restaurant, and its base is uniform over the
+Words are generated in context restaurants that share one parent: a context is the whole word before (or the beginning of
+the text), the parent is the corpus-wide unigram restaurant, and its base is uniform over the
 training vocabulary and one unknown word. A customer who opens a table in a context is a customer of the parent.
 
 The seating is sampled by Gibbs sweeps over dishes (a word in a context, then a word in the parent): all customers of a
 dish leave and are seated again one after another by the Chinese-restaurant rule, given all other dishes, and a
 Metropolis-Hastings test makes up for weights that depend on the tables opened on the way.
 Past the eighth customer, blocks of up to an eighth of those seated are seated at once by a binomial draw. Dishes are
-dealt by word, so a word's contexts meet in one task; totals of other tasks' tables are scaled from the task's own by the
-exact number of dishes. After the burn-in, SAMPLES sweeps are kept and their predictive probabilities averaged.
+dealt by word, so a word's contexts meet in one task. The tables of other tasks count in a sweep as the exact number of their
+dishes times the tables a dish has in the task's own part of that context, drawn towards those of contexts with about as many
+dishes where that part is small; every total of the tables kept is exact. After the burn-in, SAMPLES sweeps are kept and their predictive probabilities averaged.
 
 Discounts come from the counts of words and pairs seen once and twice. Words are 64-bit hashes.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batch_tokens, mix64, small_batches
 
-BEGIN = 1 << 16
+BEGIN = mix64(np.array([0x626567696E], dtype=np.uint64))
 END = mix64(np.array([0x656E64], dtype=np.uint64))
 HOT = 1 << 19
 BURN_IN = 2
@@ -41,6 +42,8 @@ SAMPLES = 3
 STRENGTH = 1.0
 CHUNK = 1 << 21
 PER_TASK = 1 << 18
+#: Dishes that contexts of about the same size count for in a context's tables a dish.
+POOLED = 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,13 +51,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix64(word ^ (context.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(word ^ (context + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def words_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(word hashes with the end token, contexts) of each text."""
-    begin = np.array([BEGIN], dtype=np.int32)
-    return [(np.concatenate((h, END)), np.concatenate((begin, tail))) for h, tail in batch_tokens(texts)]
+    return [(np.concatenate((h, END)), np.concatenate((BEGIN, h))) for h, _ in batch_tokens(texts)]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -67,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit() -> pa.RecordBatch:
         w, u = np.concatenate(words), np.concatenate(contexts)
         _, first, n = np.unique(pair_key(w, u), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(u[first]), pa.array(n.astype(np.int64))], names=["w", "u", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(u[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "u", "c"])
 
     for batch in batches:
         for w, u in words_of(_texts(batch)):
@@ -143,29 +145,37 @@ def reseat(t: np.ndarray | None, c: np.ndarray, opening: np.ndarray, more: np.nd
 class Gibbs:
     """Samples the seating of the dishes of one task.
 
-    word, context, count: one entry per (context, word) pair; all contexts of a word are here. dishes: number of pairs of each
-    context in the whole corpus; vocabulary: number of words in the whole corpus.
+    word, context, count: one entry per (context, word) pair; all contexts of a word are here. dishes: for each of
+    these pairs the number of pairs of its context in the whole corpus; pairs, vocabulary: number of pairs and of words in the whole corpus.
     """
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, dishes: np.ndarray, vocabulary: int, d2: float, d1: float, seed: int):
+    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, dishes: np.ndarray, pairs: int, vocabulary: int, d2: float, d1: float, seed: int):
         order = np.argsort(-count, kind="stable")
-        self.word, self.u, self.c = word[order], context[order], count[order]
+        self.word, self.context, self.c = word[order], context[order], count[order]
+        _, at, self.u = np.unique(self.context, return_index=True, return_inverse=True)
+        self.dishes = dishes[order][at]
         _, self.head, self.w = np.unique(self.word, return_index=True, return_inverse=True)
         self.nw = len(self.head)
         self.d2, self.d1, self.v = d2, d1, vocabulary
         self.rng = np.random.default_rng(seed)
         self.first = True
-        mine = np.bincount(self.u, minlength=len(dishes))
-        self.scale = np.where(mine > 0, dishes / np.maximum(1, mine), 0.0)
+        self.mine = np.bincount(self.u)
+        self.size = np.log2(self.dishes).astype(np.int64)
         self.t = np.ones(len(self.c))
         self.m = np.bincount(self.w, weights=self.t, minlength=self.nw)
         self.tw = np.ones(self.nw)
         #: For contexts without a dish here, their dishes stand for their tables.
-        self.elsewhere = float(dishes[mine == 0].sum())
+        self.elsewhere = float(pairs - self.dishes.sum())
+
+    def tables(self) -> np.ndarray:
+        """Tables of each context in the whole corpus, as far as the task's own dishes tell."""
+        own = np.bincount(self.u, weights=self.t)
+        alike = (np.bincount(self.size, weights=own) / np.maximum(1, np.bincount(self.size, weights=self.mine)))[self.size]
+        return own + (self.dishes - self.mine) * (own + POOLED * alike) / (self.mine + POOLED)
 
     def sweep(self) -> None:
         d2, d1, s = self.d2, self.d1, STRENGTH
-        tables = np.bincount(self.u, weights=self.t, minlength=len(self.scale)) * self.scale
+        tables = self.tables()
         root = self.tw.sum() * self.v / max(1, self.nw)
         customers = tables.sum() + self.elsewhere
         rest = self.m[self.w] - self.t
@@ -184,17 +194,17 @@ class Gibbs:
         self.tw[order] = fresh
 
 
-SEATED = "w long, u int, c long, cw long, head boolean, " + ", ".join(f"t{s} long, m{s} long, r{s} long" for s in range(SAMPLES))
+SEATED = "w long, u long, c long, cw long, head boolean, " + ", ".join(f"t{s} long, m{s} long, r{s} long" for s in range(SAMPLES))
 
 
-def _sample(batches: Iterator[pa.RecordBatch], shared, vocabulary: int, d2: float, d1: float) -> Iterator[pa.RecordBatch]:
-    held = pa.Table.from_batches(list(batches), schema=pa.schema([("w", pa.int64()), ("u", pa.int32()), ("c", pa.int64())]))
+def _sample(batches: Iterator[pa.RecordBatch], pairs: int, vocabulary: int, d2: float, d1: float) -> Iterator[pa.RecordBatch]:
+    held = pa.Table.from_batches(list(batches), schema=pa.schema([(k, pa.int64()) for k in ("w", "u", "c", "k")]))
     if not held.num_rows:
         return
-    w, u, c = (held.column(k).to_numpy() for k in ("w", "u", "c"))
+    w, u, c, n = (held.column(k).to_numpy() for k in ("w", "u", "c", "k"))
     order = np.lexsort((u, w))  # whatever order rows came in, the draw is the same
-    w, u, c = w[order], u[order], c[order]
-    g = Gibbs(w, u, c, shared.value, vocabulary, d2, d1, seed=int(w[0]) & 0x7FFFFFFF)
+    w, u, c, n = w[order], u[order], c[order], n[order]
+    g = Gibbs(w, u, c, n, pairs, vocabulary, d2, d1, seed=int(w[0]) & 0x7FFFFFFF)
     kept = []
     for k in range(BURN_IN + SAMPLES):
         g.sweep()
@@ -204,7 +214,9 @@ def _sample(batches: Iterator[pa.RecordBatch], shared, vocabulary: int, d2: floa
     head = np.zeros(len(g.c), dtype=bool)
     head[g.head] = True
     names = [x.split()[0] for x in SEATED.split(", ")]
-    table = pa.table([g.word, g.u, g.c, whole, head, *kept], names=names)
+    # A word's rows stand together, which takes less room.
+    order = np.argsort(g.word, kind="stable")
+    table = pa.table([x[order] for x in (g.word, g.context, g.c, whole, head, *kept)], names=names)
     yield from table.to_batches(max_chunksize=1 << 16)
 
 
@@ -217,23 +229,21 @@ class Model:
     def __init__(self, docs: DataFrame, scratch: Scratch):
         spark = docs.sparkSession
         train = docs.where(~held_out(F.col("doc_id"))).select("text")
-        counts = train.mapInArrow(_count, "w long, u int, c long").groupBy("w", "u").agg(F.sum("c").alias("c"))
+        counts = train.mapInArrow(_count, "w long, u long, c long").groupBy("w", "u").agg(F.sum("c").alias("c"))
         counts = scratch.write(counts)
         facts = counts.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.expr("c = 1")), F.count_if(F.expr("c = 2"))).first()
         self.tokens, pairs = facts[0] or 0, facts[1]
         per_word = counts.groupBy("w").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)), F.count_if(F.expr("k = 1")), F.count_if(F.expr("k = 2"))).first()
         self.vocabulary = per_word[0]
         self.d2, self.d1 = _discount(facts[2], facts[3]), _discount(per_word[1], per_word[2])
-        # At most 65,537 contexts, whatever the corpus.
-        dishes = np.zeros(BEGIN + 1, dtype=np.int64)
-        for u, n in counts.groupBy("u").count().collect():
-            dishes[u] = n
-        shared = spark.sparkContext.broadcast(dishes)
         # By the data alone, so that every cluster draws the same seating.
         tasks = max(1, -(-pairs // PER_TASK))
         v, d2, d1 = self.vocabulary, self.d2, self.d1
-        seated = scratch.write(counts.repartition(tasks, "w").mapInArrow(lambda it: _sample(it, shared, v, d2, d1), SEATED))
-        scratch.release(counts)
+        # Contexts are as many as words: their dishes are written, so that Spark can split a common word's rows in the join.
+        dishes = scratch.write(counts.groupBy("u").agg(F.count(F.lit(1)).alias("k")))
+        sized = counts.join(dishes, "u").select("w", "u", "c", "k")
+        seated = scratch.write(sized.repartition(tasks, "w").mapInArrow(lambda it: _sample(it, pairs, v, d2, d1), SEATED))
+        scratch.release(counts, dishes)
 
         every = range(SAMPLES)
         contexts = seated.groupBy("u").agg(F.sum("c").alias("cu"), *[F.sum(f"t{s}").alias(f"all{s}") for s in every])
@@ -247,8 +257,7 @@ class Model:
             return (known + (k + d1 * (roots[s] or 0)) / n) / (k + (sums[s] or 0))
 
         self.unknown = [(k + d1 * (roots[s] or 0)) / n / (k + (sums[s] or 0)) for s in every] if self.tokens else [1.0] * SAMPLES
-        # The context table has a proven bound of 65,537 rows.
-        wide = seated.join(F.broadcast(contexts), "u")
+        wide = seated.join(contexts, "u")
         mean = sum((F.col("c") - d2 * F.col(f"t{s}") + (k + d2 * F.col(f"all{s}")) * parent(s) for s in every), F.lit(0.0)) / SAMPLES / (k + F.col("cu"))
         self.pairs = scratch.write(wide.select("w", "u", "c", "cw", F.log10(mean).alias("lp")))
         self.words = scratch.write(seated.where("head").select("w", "cw", *[parent(s).alias(f"p{s}") for s in every]))
@@ -278,7 +287,7 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-ASKED = "rid long, doc_id long, test boolean, w long, u int, n long, tokens long, lp double, base double"
+ASKED = "rid long, doc_id long, test boolean, w long, u long, n long, tokens long, lp double, base double"
 
 
 def _ask(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
@@ -301,7 +310,7 @@ def _ask(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
             cols[2].append(np.full(k, test))
             # The settled row joins with nothing, and is dealt by its own number.
             cols[3].append(np.concatenate((mix64(np.array([rid], dtype=np.uint64)), w[first])).view(np.int64))
-            cols[4].append(np.concatenate(([-2], u[first])).astype(np.int32))
+            cols[4].append(np.concatenate((np.zeros(1, dtype=np.uint64), u[first])).view(np.int64))
             cols[5].append(np.concatenate(([len(got)], n)).astype(np.int64))
             cols[6].append(np.concatenate(([len(w)], np.zeros(k - 1))).astype(np.int64))
             cols[7].append(np.concatenate(([lp[got].sum()], np.zeros(k - 1))))
@@ -321,15 +330,15 @@ def score(docs: DataFrame) -> DataFrame:
     model = Model(docs, scratch)
     top = most_frequent(model.pairs).select("w", "u", "cw", "lp").toArrow()
     w, u, cw, lp = (top.column(k).to_numpy() for k in ("w", "u", "cw", "lp"))
-    keys = pair_key(w.view(np.uint64), u)
+    keys = pair_key(w.view(np.uint64), u.view(np.uint64))
     order = np.argsort(keys)
     whole = np.log10((cw[order] + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
     hot = spark.sparkContext.broadcast((keys[order], lp[order], whole))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out(F.col("doc_id")).alias("test"), "text")
     asked = scratch.write(rows.mapInArrow(lambda it: _ask(it, hot), ASKED))
 
-    settled = asked.where("u = -2").select("rid", "doc_id", "test", "tokens", F.col("n").alias("known"), "lp", "base")
-    far = asked.where("u <> -2").select("rid", "test", "w", "u", "n")
+    settled = asked.where("tokens > 0").select("rid", "doc_id", "test", "tokens", F.col("n").alias("known"), "lp", "base")
+    far = asked.where("tokens = 0").select("rid", "test", "w", "u", "n")
     seen = far.join(model.pairs.select("w", "u", "cw", F.col("lp").alias("l")), ["w", "u"])
     none = F.lit(None)
     seen = seen.groupBy("rid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.col("l")).alias("lp"), F.sum(F.col("n") * model.base_column(F.col("cw"))).alias("base"))
@@ -338,7 +347,7 @@ def score(docs: DataFrame) -> DataFrame:
     seen = seen.select("rid", none.cast("long").alias("doc_id"), none.cast("boolean").alias("test"), F.lit(0).cast("long").alias("tokens"), "known", "lp", "base")
     # Every pair of a training text has been seen, so only held-out texts can hold others.
     fresh = far.where("test").join(model.pairs.select("w", "u"), ["w", "u"], "left_anti")
-    fresh = fresh.join(model.words, "w", "left").join(F.broadcast(model.contexts), "u", "left")
+    fresh = fresh.join(model.words, "w", "left").join(model.contexts, "u", "left")
     parts = [F.coalesce(F.col(f"n{s}"), F.lit(1.0)) * F.coalesce(F.col(f"p{s}"), F.lit(model.unknown[s])) for s in range(SAMPLES)]
     mean = sum(parts, F.lit(0.0)) / SAMPLES
     fresh = fresh.select(

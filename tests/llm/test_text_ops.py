@@ -330,6 +330,18 @@ def test_base_score_and_gain(spark):
     assert pitman_yor.score(df.limit(0)).count() == 0
 
 
+def test_contexts_are_whole_words(spark):
+    """Words with one ending have restaurants of their own: what follows one of them says nothing of the other."""
+    rows = [(i, "xxing left " * 30 + "yying right " * 30) for i in range(40)]
+    asked = [(1000, "xxing left"), (1001, "xxing right")]
+    held = {i for i, _ in rows + asked if zlib.crc32(str(i).encode()) % 5 == 1}
+    df = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(df).collect()}
+    assert len(held) < 20 and got[1000] > got[1001] + 1
+    w, u = pitman_yor.words_of([b"aaing b ccing"])[0]
+    assert len(w) == 4 and len(set(u.tolist())) == 4 and u[1:].tolist() == w[:-1].tolist()
+
+
 def test_joined_pairs_score_like_hot_ones(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t, _ in sample(60)], "doc_id long, text string")
     whole = {r.doc_id: r.score for r in pitman_yor.score(df).collect()}
