@@ -363,6 +363,46 @@ def test_scores_do_not_depend_on_the_cluster(spark):
     assert one == pytest.approx(two, rel=1e-9)
 
 
+def test_pairs_of_many_homes(spark, monkeypatch):
+    """No table between steps has a row for each pair or asked word, and neither homes, blocks nor slices change what is known."""
+    import pathlib
+
+    from pactum.llm.common import Scratch
+
+    rng = np.random.RandomState(4)
+    rows = [(i, " ".join(f"w{int(x * x * 600)}" for x in rng.random_sample(120))) for i in range(80)] + [(1000, None), (1001, ""), (None, "of the of"), (1006, "Never seen Words of these"), (1007, "Never seen Words of these")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r for r in pitman_yor.score(df).collect()}
+    for name, value in (("PER_HOME", 4000), ("CHUNK", 3000), ("SLICES", 3), ("HOT", 20)):
+        monkeypatch.setattr(pitman_yor, name, value, raising=False)
+    written, write = [], Scratch.write
+
+    def counted(self, frame):
+        out = write(self, frame)
+        written.append((out.count(), sum(f.stat().st_size for f in pathlib.Path(out._pactum_path.removeprefix("file:")).glob("*.parquet"))))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    got = {r.doc_id: r for r in pitman_yor.score(df).collect()}
+    toks = [re.findall("[^\x20\x09-\x0d]+", (t or "").lower()) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = len({p for w in toks for p in zip(["\0", *w], [*w, "\1"], strict=True)})
+    assert pairs > 4000 and max(n for n, _ in written) < pairs / 2
+    assert got.keys() == whole.keys() and len(got) == len(rows)
+    for i, r in got.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (whole[i].held_out, whole[i].n_tokens, whole[i].n_known, whole[i].train_tokens)
+        assert r.base_score == pytest.approx(whole[i].base_score, rel=1e-9)
+        # Another seating is drawn where words have other homes.
+        assert r.score == pytest.approx(whole[i].score, rel=0.1)
+    assert sum(r.score for r in got.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.01)
+
+
+def test_arrays_of_counts():
+    for top in (0, 1, 255, 256, 1 << 40, (1 << 63) - 1):
+        a, h, x = np.array([0, top, top // 2]), np.array([top, 1 << 63], dtype=np.uint64), np.array([0.5, -top])
+        for one, two in zip(pitman_yor.load(pitman_yor.dump(a, h, x, a[:0])), (a, h, x, a[:0]), strict=True):
+            assert one.tolist() == two.tolist()
+
+
 def test_seating_follows_the_restaurant(spark):
     """Averages of sampled tables against the exact posterior of small dishes."""
     d, opening, more = 0.5, 0.8, 0.1
