@@ -292,6 +292,20 @@ def test_lines_against_brute_force(spark):
     assert all(got[d] <= gone[d] for d in got if d not in long)
 
 
+def test_pairs_of_lines_are_tested_once(spark, monkeypatch):
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(hashlib.sha1(f"{i} {k}".encode()).hexdigest() for k in range(20))) for i in range(6)]
+    seen, verify = [], line_dedup._verify
+
+    def counted(texts, pairs, least):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return verify(texts, pairs, least)
+
+    monkeypatch.setattr(line_dedup, "_verify", counted)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen and len(seen) == len(set(seen)) and all(r.n_dropped == 0 for r in got)
+
+
 def test_large_groups_of_lines_are_tested_whole(spark, monkeypatch):
     """All lines in one group: every pair that is similar enough is linked, whatever else two lines have in common."""
     rng = random.Random(10)
