@@ -322,6 +322,25 @@ def test_large_groups_of_lines_are_tested_whole(spark, monkeypatch):
     assert len(set(found.values())) == len(set(root.values())) == 25
 
 
+def test_lines_that_share_any_block_are_tested(spark):
+    """Long lines with many changed words: one equal block of all is enough, wherever it begins."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9)))
+    lines = []
+    for n in (36, 70, 110) * 30:
+        words = [word() for _ in range(n)]
+        copy = list(words)
+        for i in rng.sample(range(n), round(0.17 * n)):
+            copy[i] = word()
+        lines += [" ".join(words), " ".join(copy)]
+    keys = collections.defaultdict(set)
+    for r in line_dedup.block_keys(spark.createDataFrame(list(enumerate(lines)), "h long, norm string"), all_hashes=True).collect():
+        keys[r.id].add(r.key)
+    want = {2 * i + 1 for i in range(len(lines) // 2) if keys[2 * i] & keys[2 * i + 1] and edits(*lines[2 * i : 2 * i + 2]) <= 0.2 * max(map(len, lines[2 * i : 2 * i + 2]))}
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert len(want) > 60 and {r.doc_id for r in out if r.n_dropped} == want
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, "one line here\nanother line"), (1, "one line here\nanother line"), (1, "third line of text\none line here"), (2, "another line")] + [(None, "one line here")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string")
