@@ -341,6 +341,46 @@ def test_lines_that_share_any_block_are_tested(spark):
     assert len(want) > 60 and {r.doc_id for r in out if r.n_dropped} == want
 
 
+def test_blocks_of_the_same_lines_are_one_group(spark, monkeypatch):
+    """A passage makes one group of its lines, not one for each of its blocks; every pair that shares a block stays in some group."""
+    passages = [" ".join(hashlib.sha1(f"{p} {k}".encode()).hexdigest()[:7] for k in range(50)) for p in range(3)]
+    own = lambda i: " ".join(hashlib.sha1(f"own {i} {k}".encode()).hexdigest()[:8] for k in range(20))
+    lines = [f"{passages[i % 3]} {own(i)}" + (f" {passages[1]}" if i % 5 == 0 else "") for i in range(30)]
+    seen, pivots = [], line_dedup.pivot_pairs
+
+    def counted(rows, percent):
+        seen.extend((r.key, r.id) for r in rows.collect())
+        return pivots(rows, percent)
+
+    monkeypatch.setattr(line_dedup, "pivot_pairs", counted)
+    df = spark.createDataFrame(list(enumerate(lines)), "h long, norm string")
+    line_dedup.link_lines(df, Scratch(spark, "test"))
+    blocks, groups = collections.defaultdict(set), collections.defaultdict(list)
+    for r in line_dedup.block_keys(df, all_hashes=True).collect():
+        blocks[r.key].add(r.id)
+    for key, i in seen:
+        groups[key].append(i)
+    want = {frozenset(x) for x in blocks.values() if len(x) > 1}
+    assert 3 <= len(want) < sum(len(x) > 1 for x in blocks.values())
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+
+
+def test_texts_of_lines_are_let_go_before_their_blocks_are_written(spark, monkeypatch):
+    held, blocks, write = {}, [], Scratch.write
+
+    def written(self, df, *options):
+        out = write(self, df, *options)
+        held[out._pactum_path] = set(df.columns)
+        if {"key", "id"} <= set(df.columns):
+            blocks.append(sum({"pos", "norm"} <= held[p] for p in self.held))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", written)
+    rows = [(i, "\n".join(f"line {i % 7} of {k} with a few words that are its own {k * k}" for k in range(5))) for i in range(20)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 20 and blocks and not any(blocks)
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, "one line here\nanother line"), (1, "one line here\nanother line"), (1, "third line of text\none line here"), (2, "another line")] + [(None, "one line here")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string")
