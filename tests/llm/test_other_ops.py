@@ -381,6 +381,17 @@ def test_texts_of_lines_are_let_go_before_their_blocks_are_written(spark, monkey
     assert len(out) == 20 and blocks and not any(blocks)
 
 
+def test_lines_of_one_word_that_repeats(spark):
+    """The bound from above settles long lines of repeated words, with words put in: pieces keep to their place."""
+    words = ["escoas"] * 900
+    for at in (40, 333, 612):
+        words[at] = "xylem"
+    a, b = " ".join(["escoas"] * 930), " ".join(words)
+    c = " ".join(["escoas", "xylems"] * 450)
+    df = spark.createDataFrame([(a, b), (b, a), (a, c)], "a string, b string")
+    assert [r[0] for r in df.select(line_dedup.similar("a", "b", 0.8)).collect()] == [True, True, False]
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, "one line here\nanother line"), (1, "one line here\nanother line"), (1, "third line of text\none line here"), (2, "another line")] + [(None, "one line here")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string")
