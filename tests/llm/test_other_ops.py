@@ -381,6 +381,31 @@ def test_texts_of_lines_are_let_go_before_their_blocks_are_written(spark, monkey
     assert len(out) == 20 and blocks and not any(blocks)
 
 
+def test_pairs_of_lines_are_tested_in_parts(spark, monkeypatch):
+    """Texts of few pairs lie on the disk at once, and the distinct lines are gone by then; the result is the same."""
+    rows = [(i, "\n".join(f"line {i % 11} of {k} with a few words that are its own {k * k}" for k in range(4))) for i in range(22)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect())
+    sizes, whole, held, verify, write = [], [], {}, line_dedup._verify, Scratch.write
+
+    def written(self, df, *options):
+        out = write(self, df, *options)
+        held[out._pactum_path] = self, df.columns == ["h", "norm"]
+        return out
+
+    def counted(texts, pairs, least):
+        sizes.append(pairs.count())
+        whole.append(sum(path in self.held for path, (self, lines) in held.items() if lines))
+        return verify(texts, pairs, least)
+
+    monkeypatch.setattr(Scratch, "write", written)
+    monkeypatch.setattr(line_dedup, "_verify", counted)
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 10)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect())
+    assert got == want and any(text != rows[i][1] for i, text in got)
+    assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2 and set(whole) == {1}
+
+
 def test_lines_of_one_word_that_repeats(spark):
     """The bound from above settles long lines of repeated words, with words put in: pieces keep to their place."""
     words = ["escoas"] * 900
