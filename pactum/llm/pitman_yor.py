@@ -159,6 +159,26 @@ def parted(at: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(at[i]), slice(i, j)
 
 
+def order_of(h: np.ndarray) -> np.ndarray:
+    """The stable order of hashes: their high bits and places are sorted as one number, all bits only where that leaves hashes out of order."""
+    low = (1 << max(1, len(h) - 1).bit_length()) - 1
+    mixed = h & np.uint64(~low & 0xFFFFFFFFFFFFFFFF) | np.arange(len(h), dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & np.uint64(low)).astype(np.int64)
+    there = h[order]
+    return np.argsort(h, kind="stable") if (there[1:] < there[:-1]).any() else order
+
+
+def placed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, the first place of each, and of all hashes the places among the distinct."""
+    order = order_of(h)
+    there = h[order]
+    new = np.concatenate(([True], there[1:] != there[:-1])) if len(h) else np.zeros(0, dtype=bool)
+    at = np.empty(len(h), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return there[new], order[new], at
+
+
 def runs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of sorted pairs, and how many pairs each has."""
     first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, dtype=np.int64)
@@ -201,8 +221,9 @@ def _count(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator:
 
     def emit() -> Iterator:
         w, u = np.concatenate(words), np.concatenate(contexts)
-        _, first, c = np.unique(pair_key(w, u), return_index=True, return_counts=True)
-        first, c = first[order := np.argsort(w[first])], c[order]
+        _, first, at = placed(pair_key(w, u))
+        c = np.bincount(at)
+        first, c = first[order := order_of(w[first])], c[order]
         w, u = w[first], u[first]
         for to, part in parted(home(w, homes)):
             yield to, COUNTED, 0, dump(*runs(w[part]), u[part], c[part])
@@ -230,7 +251,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator:
         found = [x for _, x in kinds[COUNTED]]
         w = np.concatenate([np.repeat(words, n) for words, n, _, _ in found])
         u, c = (np.concatenate([x[k] for x in found]) for k in (2, 3))
-        order = np.lexsort((u, w))
+        order = order_of(u)
+        order = order[order_of(w[order])]
         w, u, c = w[order], u[order], c[order]
         first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]))))
         w, u, c = w[first], u[first], np.add.reduceat(c, first)
@@ -245,8 +267,8 @@ def _contexts_of(batches: Iterator[pa.RecordBatch], homes: int, kind: int) -> It
     for to, what, _, data in each(batches):
         if what == kind:
             _, _, u, *counts = load(data)
-            own, at, n = np.unique(u, return_inverse=True, return_counts=True)
-            sums = [n] if kind == COUNTED else [total(at, x, len(own)) for x in counts[: SAMPLES + 1]]
+            own, _, at = placed(u)
+            sums = [np.bincount(at)] if kind == COUNTED else [total(at, x, len(own)) for x in counts[: SAMPLES + 1]]
             for q, part in parted(home(own, homes)):
                 yield q, ASKED, to, dump(own[part], *(x[part] for x in sums))
 
@@ -255,7 +277,7 @@ def _hand_back(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator:
     """The sums of each context, for each home in the order of its own contexts; and for this one, where they are kept."""
     for to, kinds in by_home(batches):
         found = kinds[ASKED]
-        own, at = np.unique(np.concatenate([x[0] for _, x in found]), return_inverse=True)
+        own, _, at = placed(np.concatenate([x[0] for _, x in found]))
         sums = [total(at, np.concatenate([x[k] for _, x in found]), len(own)) for k in range(1, len(found[0][1]))]
         if keep:
             yield to, CONTEXT, 0, dump(own, *sums)
@@ -293,10 +315,10 @@ def seat(c: np.ndarray, opening: np.ndarray, more: np.ndarray, d: float, rng: np
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by eight."""
-    low = np.log(x)
+    low = x.copy()
     for k in range(1, 8):
-        low += np.log(x + k)
-    y = x + 8
+        low *= x + k
+    low, y = np.log(low), x + 8
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
@@ -335,9 +357,9 @@ class Gibbs:
     def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, dishes: np.ndarray, pairs: int, vocabulary: int, d2: float, d1: float, seed: int):
         order = self.order = np.argsort(-count, kind="stable")
         self.word, self.context, self.c = word[order], context[order], count[order]
-        _, at, self.u = np.unique(self.context, return_index=True, return_inverse=True)
+        _, at, self.u = placed(self.context)
         self.dishes = dishes[order][at]
-        _, self.head, self.w = np.unique(self.word, return_index=True, return_inverse=True)
+        _, self.head, self.w = placed(self.word)
         self.nw = len(self.head)
         self.d2, self.d1, self.v = d2, d1, vocabulary
         self.rng = np.random.default_rng(seed)
@@ -385,7 +407,7 @@ def _sample(batches: Iterator[pa.RecordBatch], pairs: int, vocabulary: int, d2:
     for to, kinds in by_home(batches):
         ((_, (words, n, u, c)),) = kinds[COUNTED]
         w = np.repeat(words, n)
-        _, at = np.unique(u, return_inverse=True)
+        _, _, at = placed(u)
         dishes = np.concatenate([x for _, (x,) in kinds[HANDED]])[at]
         g = Gibbs(w, u, c, dishes, pairs, vocabulary, d2, d1, seed=int(w[0]) & 0x7FFFFFFF)
         seats, whole = [], [np.add.reduceat(c, np.cumsum(n) - n)]
@@ -434,7 +456,7 @@ class Pairs:
         t, (self.cw, *whole) = rest[:SAMPLES], rest[SAMPLES:]
         self.m, self.r = whole[::2], whole[1::2]
         self.w = np.repeat(self.words, self.n)
-        _, at = np.unique(self.u, return_inverse=True)
+        _, _, at = placed(self.u)
         cu, *tables = (np.concatenate(x)[at] for x in zip(*handed, strict=True))
         mean = np.zeros(len(self.c))
         for s in range(SAMPLES):
@@ -563,6 +585,9 @@ def _ask(batches: Iterator[pa.RecordBatch], hot, facts: Facts, homes: int) -> It
         i = np.repeat(np.arange(len(block)), tokens)
         w, u = (np.concatenate([x[k] for x in block]) for k in (3, 4))
         key = pair_key(w, u)
+        # By pair, and the same pairs by text: neighbours are looked up in one place.
+        order = order_of(key)
+        i, w, u, key = i[order], w[order], u[order], key[order]
         at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
         hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
         got, where = at[hit], i[hit]
@@ -570,13 +595,14 @@ def _ask(batches: Iterator[pa.RecordBatch], hot, facts: Facts, homes: int) -> It
         yield int(place(tag, homes)[0]), SETTLED, int(tag[0]), dump(doc, null, test, tokens, np.bincount(where, minlength=len(block)), *sums)
         for kind, those in ((KNOWN, ~hit & (test[i] == 0)), (UNKNOWN, ~hit & (test[i] == 1))):
             far = np.flatnonzero(those)
-            # Pairs of a text once, by home and text.
-            far = far[np.lexsort((key[far], i[far], home(w[far], homes)))]
+            # Pairs of a text once, by home.
             new = np.concatenate(([True], (key[far][1:] != key[far][:-1]) | (i[far][1:] != i[far][:-1]))) if len(far) else np.zeros(0, dtype=bool)
             first = np.flatnonzero(new)
             n = np.diff(np.concatenate((first, [len(far)]))).astype(np.int64)
-            far = far[first]
-            for to, part in parted(home(w[far], homes)):
+            to_home = home(w[far[first]], homes)
+            order = np.argsort(to_home.astype(np.uint16) if homes < 1 << 16 else to_home, kind="stable")
+            far, n = far[first[order]], n[order]
+            for to, part in parted(to_home[order]):
                 x = far[part]
                 yield to, kind, int(tag[0]), dump(i[x].astype(np.int64), n[part], *((key[x],) if kind == KNOWN else (w[x], u[x])))
 
@@ -594,7 +620,13 @@ def _ask(batches: Iterator[pa.RecordBatch], hot, facts: Facts, homes: int) -> It
 def _parts(block: np.ndarray, i: np.ndarray, known: np.ndarray, lp: np.ndarray, base: np.ndarray, homes: int) -> Iterator:
     """Sums by text, for each place where blocks meet."""
     if len(i):
-        order = np.lexsort((i, block, place(block, homes)))
+        # Blocks come in runs: a run's place in the order of blocks and i make one number.
+        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        tags, run = np.unique(block[starts], return_inverse=True)
+        rank = np.empty(len(tags), dtype=np.int64)
+        rank[np.lexsort((tags, place(tags, homes)))] = np.arange(len(tags))
+        both = np.repeat(rank[run], np.diff(np.concatenate((starts, [len(i)])))) << int(i.max()).bit_length() | i
+        order = order_of(both.astype(np.uint64) << np.uint64(64 - max(1, int(both.max()).bit_length())))
         block, i = block[order], i[order]
         first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]))))
         known, lp, base = (np.add.reduceat(x[order], first) for x in (known, lp, base))
@@ -615,7 +647,7 @@ def _answer(batches: Iterator[pa.RecordBatch], facts: Facts, homes: int) -> Iter
         key = np.concatenate([x[2] if kind == KNOWN else pair_key(x[2], x[3]) for _, kind, x in asked])
         pairs = Pairs(kinds, facts)
         own = pair_key(pairs.w, pairs.u)
-        order = np.argsort(own)
+        order = order_of(own)
         own = own[order]
         at = np.minimum(np.searchsorted(own, key), max(0, len(own) - 1))
         hit = own[at] == key if len(own) else np.zeros(len(key), dtype=bool)

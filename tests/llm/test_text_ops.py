@@ -396,6 +396,30 @@ def test_pairs_of_many_homes(spark, monkeypatch):
     assert sum(r.score for r in got.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.01)
 
 
+def test_order_of_hashes():
+    """Stable order and places of hashes as numpy's sorts give them, also where high bits are alike and one number can't hold hash and place."""
+    h = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    h[1000:2000] = h[:1000]
+    for x in (h, h >> np.uint64(52), h & np.uint64(255), h[:0], h[:1], np.full(4, 2**64 - 1, dtype=np.uint64)):
+        assert (pitman_yor.order_of(x) == np.argsort(x, kind="stable")).all()
+        for got, want in zip(pitman_yor.placed(x), np.unique(x, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all()
+
+
+def test_sums_of_texts_in_any_order():
+    """Parts of texts of many blocks are summed once by block and text, whatever order they come in."""
+    rng = np.random.default_rng(4)
+    block, i = np.repeat(np.array([7, 1 << 40, 3, 7]), 200), rng.integers(0, 900, 800)
+    n, lp = rng.integers(1, 5, 800), rng.random(800)
+    got = {}
+    for _, _, _, data in pitman_yor._parts(block, i, n, lp, lp, 5):
+        for b, t, k, x, _ in zip(*pitman_yor.load(data), strict=True):
+            assert (b, t) not in got
+            got[b, t] = k, x
+    want = {(b, t): (n[hit].sum(), lp[hit].sum()) for b, t in zip(block, i, strict=True) for hit in [(block == b) & (i == t)]}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_arrays_of_counts():
     for top in (0, 1, 255, 256, 1 << 40, (1 << 63) - 1):
         a, h, x = np.array([0, top, top // 2]), np.array([top, 1 << 63], dtype=np.uint64), np.array([0.5, -top])
