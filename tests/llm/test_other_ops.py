@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pactum.llm import ann, jpeg, line_dedup, near_dup, warc
+from pactum.llm import ann, graph, jpeg, line_dedup, near_dup, warc
 from pactum.llm.common import Scratch, token_hashes
 from pactum.llm.graph import connected_components
 
@@ -406,6 +406,27 @@ def test_pairs_of_lines_are_tested_in_parts(spark, monkeypatch):
     assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2 and set(whole) == {1}
 
 
+def test_a_pair_in_several_groups_is_made_once(spark):
+    """Without the lists of groups the join makes a row for each group that a pair shares; the pairs are the same for lines of too many groups."""
+    rows = [(key, i, 100) for key in range(8) for i in range(10) if key == 0 or (i + key) % 3] + [(100 + key, i, 100) for key in range(80) for i in (0, 1)]
+    df = spark.createDataFrame(rows, "key long, id long, size int")
+    pairs = graph.pairs_in_groups(df, None, 80, Scratch(spark, "test"))
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+    few = graph.pairs_in_groups(df.where("id > 1"), None, 80, Scratch(spark, "test"))
+    few.collect()
+    plan, made = [few._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if node.nodeName().endswith("Join") and "before_a" in node.toString().split("\n")[0]:
+            made.append(node.metrics().apply("numOutputRows").value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    assert made == [28]
+
+
 def test_lines_of_one_word_that_repeats(spark):
     """The bound from above settles long lines of repeated words, with words put in: pieces keep to their place."""
     words = ["escoas"] * 900
