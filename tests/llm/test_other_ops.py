@@ -406,6 +406,18 @@ def test_pairs_of_lines_are_tested_in_parts(spark, monkeypatch):
     assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2 and set(whole) == {1}
 
 
+def test_texts_are_normalised_and_blocks_made_once(spark):
+    """Neither plan tests a list for rows before it is dealt out, which would make the list twice."""
+    docs = spark.createDataFrame([(1, "Some line, of words\nand (another) one\n\n")], "doc_id long, text string")
+    lines = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12))), (2, "one two"), (3, "solitary")], "h long, norm string")
+    for df, costly, most in ((line_dedup.occurrences(docs), "regexp_replace(", 1), (line_dedup.block_keys(lines, all_hashes=True), "array_distinct(", 2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(costly) == most
+    assert [(r.pos, r.size) for r in line_dedup.occurrences(docs).orderBy("pos").collect()] == [(0, 18), (1, 15)]
+    got = collections.Counter(r.id for r in line_dedup.block_keys(lines, all_hashes=True).collect())
+    assert got == {1: 11 + 31, 2: 1, 3: 2}
+
+
 def test_a_pair_in_several_groups_is_made_once(spark):
     """Without the lists of groups the join makes a row for each group that a pair shares; the pairs are the same for lines of too many groups."""
     rows = [(key, i, 100) for key in range(8) for i in range(10) if key == 0 or (i + key) % 3] + [(100 + key, i, 100) for key in range(80) for i in (0, 1)]
@@ -427,6 +439,25 @@ def test_a_pair_in_several_groups_is_made_once(spark):
     assert made == [28]
 
 
+def test_small_tables_are_dealt_out_at_once(spark, monkeypatch):
+    """Each part is a plan in the driver: few blocks and lines are dealt out together, many in parts, with the same result."""
+    rows = [(i, "\n".join(f"line {i % 11} of {k} with a few words that are its own {k * k}" for k in range(4))) for i in range(22)]
+    df, write, made = spark.createDataFrame(rows, "doc_id long, text string"), Scratch.write, []
+
+    def written(self, df, *options):
+        made.append(df.columns)
+        return write(self, df, *options)
+
+    monkeypatch.setattr(Scratch, "write", written)
+    want = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect())
+    assert made.count(["key", "id", "size"]) == 2 and made.count(["h", "norm"]) == 2 and any(text != rows[i][1] for i, text in want)
+    made.clear()
+    monkeypatch.setattr(line_dedup, "BLOCKS_AT_ONCE", 30)
+    monkeypatch.setattr(line_dedup, "LINES_AT_ONCE", 10)
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()) == want
+    assert made.count(["key", "id", "size"]) == line_dedup.PARTS + 1 and made.count(["h", "norm"]) == line_dedup.LINE_PARTS + 1
+
+
 def test_lines_of_one_word_that_repeats(spark):
     """The bound from above settles long lines of repeated words, with words put in: pieces keep to their place."""
     words = ["escoas"] * 900
